@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +29,20 @@ def build_session(app: str = "voxelake", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, unless their path already has it."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_voxelake_shipped", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    d = tempfile.mkdtemp(prefix="voxelake-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)  # executors fetch the file as they start
+    sc.addPyFile(shutil.make_archive(os.path.join(d, "voxelake_code"), "zip", root, "voxelake"))
+    sc._voxelake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder (a file or a folder of parts)."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
