@@ -9,9 +9,20 @@ from voxelake.llm.encoding import count_tokens, encode_corpus, token_statistics
 from voxelake.llm.levels import grade, level_profile
 from voxelake.llm.lookalikes import look_alike_pairs, unify
 from voxelake.llm.mixing import mix, mixture_shares
+from voxelake.llm.names import link_people, person_pairs
 from voxelake.session import cut_lineage, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of rows of patients that record the same human being."""
+    return person_pairs(link_people(table(spark, d, "patients")))
+
+
+def p2_people(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of patients with the person it records."""
+    return link_people(table(spark, d, "patients"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows whose alphabetic or ideographic texts look the same but differ."""
     return look_alike_pairs(table(spark, d, "person_names"))
@@ -68,6 +79,8 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_people": p2_people,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
     "p6_found": p6_found,
