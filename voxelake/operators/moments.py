@@ -81,6 +81,12 @@ def offset_micros(c: Column) -> Column:
     return F.when(t.isin("Z", "UTC", "GMT"), F.lit(0).cast("bigint")).otherwise(numeric)
 
 
+def _once(c: Column) -> Column:
+    """A value computed once a row. The one-row generator keeps the optimizer from copying its whole
+    expression into every predicate on it, which would multiply the cascade."""
+    return F.explode(F.array(c))
+
+
 def normalise_moments(
     moments: DataFrame,
     clocks: DataFrame,
@@ -129,7 +135,7 @@ def normalise_moments(
     kept = [F.col(k) for k in keep]
     text = moments.select(*kept, F.col(source).alias("__s"), clean(F.col(offset)).alias("__off"), clean(whole).alias("__text"))
     fields, name = cascade(F.col("__text"))
-    split = text.select(*keep, "__s", "__off", "__text", F.split(fields, r"\|").alias("__f"), name.alias("format"))
+    split = text.select(*keep, "__s", "__off", "__text", _once(F.split(fields, r"\|")).alias("__f"), name.alias("format"))
 
     f = lambda i: F.get(F.col("__f"), F.lit(i))
     number = lambda i: f(i).try_cast("int")
@@ -188,7 +194,7 @@ def normalise_moments(
         .when(never, "nonexistent")
         .otherwise("ambiguous")
     )
-    return at.select(*keep, utc.alias("utc_micros"), "format", basis.alias("basis"))
+    return at.select(*keep, _once(utc).alias("utc_micros"), "format", basis.alias("basis"))
 
 
 def same_instant_pairs(instants: DataFrame, *, key: str = "moment_id", group: str = "exposure_uid") -> DataFrame:
