@@ -15,7 +15,7 @@ def table(spark, lines):
 
 
 def test_values(spark):
-    got = accepted(parse_lines(table(spark, [GOOD, ' invalid_value , (0009,0a0f),"", 0 ,, 007 ," 9223372036854775807 ",\r']))).orderBy("line_id").collect()
+    got = accepted(parse_lines(table(spark, [GOOD, ' invalid_value , "(0009,0a0f)","", 0 ,, 007 ," 9223372036854775807 ",\r']))).orderBy("line_id").collect()
     assert tuple(got[0]) == (0, "truncated_value", 0x00100010, "PN", 12, "(0040,A730) > (0040,A043)", 8, 5, 'a "b", c')
     assert tuple(got[1]) == (1, "invalid_value", 0x00090A0F, None, 0, None, 7, 9223372036854775807, None)
 
