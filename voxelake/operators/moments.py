@@ -57,7 +57,7 @@ _COMPACT_CLOCK_AT_ONCE = rf"^{_CLOCK_COMPACT}{_TAIL}"
 
 def clean(c: Column) -> Column:
     """Text without padding (white space and NUL at both ends); empty text becomes null."""
-    t = F.regexp_replace(c, r"^[\s\x00]+|[\s\x00]+$", "")
+    t = F.btrim(c, F.lit(" \t\n\x0b\f\r\x00"))
     return F.when(F.length(t) > 0, t)
 
 
@@ -126,7 +126,7 @@ def normalise_moments(
     day, clock = clean(F.col(da)), clean(F.col(tm))
     # a compact clock reading of a separate column is spelt out, so that one cascade serves both
     clock = F.when(
-        clock.rlike(_COMPACT_CLOCK_AT_ONCE) & ~clock.contains(":"),
+        ~clock.contains(":") & clock.rlike(_COMPACT_CLOCK_AT_ONCE),
         F.regexp_replace(
             F.regexp_replace(clock, r"^(\d{2})(\d{2})(\d{2})", "$1:$2:$3"), r"^(\d{2})(\d{2})(?!\d|:)", "$1:$2"
         ),
