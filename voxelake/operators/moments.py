@@ -205,7 +205,8 @@ def same_instant_pairs(instants: DataFrame, *, key: str = "moment_id", group: st
     null pair with nothing; rows with equal keys don't pair with each other.
     """
     base = instants.where(F.col(group).isNotNull() & F.col("utc_micros").isNotNull()).select(key, group, "utc_micros")
-    a, b = base.alias("a"), base.alias("b")
+    # a merge join reads the one exchange twice; a broadcast of either side would parse all rows twice
+    a, b = base.hint("merge").alias("a"), base.alias("b")
     return a.join(
         b,
         (F.col(f"a.{group}") == F.col(f"b.{group}"))

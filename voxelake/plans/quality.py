@@ -17,6 +17,11 @@ def p1_instants(spark: SparkSession, d: str) -> DataFrame:
     return n.select("moment_id", "utc_micros", "format", "basis")
 
 
+def p1_utc(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading of moments as microseconds since 1970 in UTC, or null."""
+    return p1_instants(spark, d).select("moment_id", "utc_micros")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of rows of one exposure that denote the same instant."""
     n = normalise_moments(table(spark, d, "moments"), table(spark, d, "stations"), keep=["moment_id", "exposure_uid"])
@@ -54,6 +59,7 @@ def p4_rows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_instants": p1_instants,
     "p1_found": p1_found,
+    "p1_utc": p1_utc,
     "p3_found": p3_found,
     "p3_nodes": p3_nodes,
     "p3_concepts": p3_concepts,
@@ -85,7 +91,36 @@ WITH cut AS (
 )
 """
 
+_MOMENTS = r"""
+WITH pad AS (SELECT ' ' || chr(9) || chr(10) || chr(13) || chr(0) AS ws), raw AS (
+  SELECT moment_id, exposure_uid, station_id, nullif(trim(tz_offset, ws), '') AS off_column,
+         trim(coalesce(nullif(trim(dt_original, ws), ''), nullif(trim(da_original, ws), '') || coalesce(' ' || nullif(trim(tm_original, ws), ''), '')), ws) AS t
+  FROM moments, pad
+), a AS (SELECT *, nullif(regexp_extract(t, '(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$', 1), '') AS own FROM raw),
+b AS (SELECT *, rtrim(CASE WHEN own IS NULL THEN t ELSE t[1:length(t) - length(own)] END) AS u FROM a),
+c AS (SELECT *, lower(regexp_extract(u, '([AaPp])[Mm]$', 1)) AS half, rtrim(regexp_replace(u, '[AaPp][Mm]$', '')) AS v FROM b),
+e AS (SELECT *, CASE WHEN regexp_matches(v, '^[0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}') THEN 1 WHEN regexp_matches(v, '^([A-Za-z]{3}, )?[0-9]{1,2}[- ][A-Za-z]{3}[- ][0-9]{4}') THEN 2
+                WHEN regexp_matches(v, '^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}') THEN 3 END AS form FROM c),
+f AS (SELECT *, CASE form WHEN 1 THEN regexp_extract(v, '^[0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}') WHEN 2 THEN regexp_extract(v, '^([A-Za-z]{3}, )?[0-9]{1,2}[- ][A-Za-z]{3}[- ][0-9]{4}') ELSE regexp_extract(v, '^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}') END AS d FROM e),
+g AS (SELECT *, ltrim(v[length(d) + 1:], ' Tt') AS clock, CASE form WHEN 1 THEN regexp_replace(d, '[-/.]', '', 'g')
+  WHEN 2 THEN regexp_extract(d, '([0-9]{4})$', 1) || printf('%02d', (instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(regexp_extract(d, '[0-9][- ]([A-Za-z]{3})', 1))) + 2) // 3) || lpad(regexp_extract(d, '([0-9]{1,2})[- ]', 1), 2, '0')
+  WHEN 3 THEN regexp_extract(d, '([0-9]{4})$', 1) || printf('%02d', (instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(d[1:3])) + 2) // 3) || lpad(regexp_extract(d, ' ([0-9]{1,2}),', 1), 2, '0') END AS ymd FROM f),
+h AS (SELECT *, try_cast(ymd[1:4] || '-' || ymd[5:6] || '-' || ymd[7:8] AS DATE) AS day, replace(regexp_extract(CASE WHEN regexp_matches(clock, '^[0-9]:') THEN '0' || clock ELSE clock END, '^[0-9:]+'), ':', '') AS hms,
+        regexp_extract(clock, '[.,]([0-9]+)', 1) AS frac FROM g),
+i AS (SELECT *, try_cast(hms[1:2] AS INT) AS h0, coalesce(try_cast(hms[3:4] AS INT), 0) AS mi, coalesce(try_cast(hms[5:6] AS INT), 0) AS se, CAST(rpad(frac[1:6], 6, '0') AS BIGINT) AS us FROM h),
+j AS (SELECT *, CASE WHEN half = '' THEN h0 WHEN h0 BETWEEN 1 AND 12 THEN h0 % 12 + CASE half WHEN 'p' THEN 12 ELSE 0 END END AS ho FROM i),
+k AS (SELECT *, CASE WHEN ho BETWEEN 0 AND 23 AND mi BETWEEN 0 AND 59 AND se BETWEEN 0 AND 60 THEN (CAST(day - DATE '1970-01-01' AS BIGINT) * 86400 + ho * 3600 + mi * 60 + least(se, 59)) * 1000000 + us END AS lo, replace(coalesce(own, off_column), ':', '') AS off FROM j),
+l AS (SELECT k.*, tz_name, epoch_us(timezone(tz_name, make_timestamp(lo))) AS by_clock FROM k LEFT JOIN stations USING (station_id)),
+m AS (SELECT *, CASE WHEN epoch_us(timezone(tz_name, make_timestamptz(by_clock - 3600000000))) = lo THEN by_clock - 3600000000 WHEN epoch_us(timezone(tz_name, make_timestamptz(by_clock - 1800000000))) = lo THEN by_clock - 1800000000
+                 WHEN epoch_us(timezone(tz_name, make_timestamptz(by_clock))) = lo THEN by_clock END AS first_shown FROM l),
+instants AS (SELECT moment_id, exposure_uid, CASE WHEN off IN ('Z', 'UTC', 'GMT') THEN lo WHEN off IS NOT NULL THEN lo - CASE WHEN off[1:1] = '-' THEN -1 ELSE 1 END * (CAST(off[2:3] AS BIGINT) * 60 + CAST(off[4:5] AS BIGINT)) * 60000000 ELSE first_shown END AS utc FROM m)
+"""
+
 ORACLES = {
+    "p1_found": _MOMENTS
+    + """
+SELECT a.moment_id AS moment_id_a, b.moment_id AS moment_id_b FROM instants a JOIN instants b ON a.exposure_uid = b.exposure_uid AND a.utc = b.utc AND a.moment_id < b.moment_id""",
+    "p1_utc": _MOMENTS + "SELECT moment_id, utc AS utc_micros FROM instants",
     "p3_found": """
 WITH RECURSIVE held AS (
   SELECT rec_id, CAST(NULL AS VARCHAR) AS sequence_path, CAST(NULL AS INTEGER) AS item_no, CAST(record_json AS JSON) AS obj FROM dicom_json
