@@ -132,3 +132,45 @@ def test_rle_and_samples():
             assert frames.rle_decode(frames.rle_encode(raw, rows, cols, samples, bits), rows, cols, samples, bits) == raw
     assert frames.unpack_samples(b"\x88\x07", 16, True).tolist() == [1928] and frames.interleave(frames.planes(b"abcdef", 3, 1), 3, 1) == b"abcdef"
     assert lookup_vr(0x60023000) == "OB or OW" and lookup_vr(0x00091000, "ACUSON") == "IS" and lookup_vr(0x00091000) == "UN" and lookup_vr(0x00090010) == "LO" and len(VR_OF) > 80
+
+
+def test_write_rules():
+    from voxelake.codec.dataset import REQUIRED_META, missing_meta, write_encoding
+
+    assert write_encoding(IMPLICIT) == (True, True) and write_encoding(BIG, False, False) == (False, False) and write_encoding("1.9", False, True) == (False, True)
+    for bad in ((EXPLICIT, True, True), ("1.2.840.10008.1.1", False, True), ("1.9", None, True), (None, True, False)):
+        with pytest.raises(ValueError):
+            write_encoding(*bad)
+    assert missing_meta(set(REQUIRED_META)) == [] and missing_meta({0x00020010}) == [t for t in REQUIRED_META if t != 0x00020010]
+    with pytest.raises(ValueError):
+        missing_meta({0x00080005})
+    with pytest.raises(ValueError):
+        encode_file([((), 0x00020010, "UI", b"1.2", False)], EXPLICIT, "1", "2")
+
+
+def test_json_and_dump():
+    import json
+
+    from voxelake.__main__ import lines
+    from voxelake.codec.json_model import dataset_json
+
+    e = [
+        {"path": [], "tag": 0x00100010, "vr": "PN", "strings": ["Yamada^Tarou=山田^太郎"], "raw": None},
+        {"path": [{"tag": 0x0040A730, "item": 0}], "tag": 0x0040A30A, "vr": "DS", "strings": ["1.5", ""], "raw": None},
+        {"path": [], "tag": 0x00420011, "vr": "OB", "strings": None, "raw": b"x" * 13},
+    ]
+    got = json.loads(dataset_json(e, 4, "https://example.com"))
+    assert got["00100010"] == {"vr": "PN", "Value": [{"Alphabetic": "Yamada^Tarou", "Ideographic": "山田^太郎"}]}
+    assert got["0040A730"]["Value"][0]["0040A30A"]["Value"] == [1.5, None] and got["00420011"] == {"vr": "OB", "BulkDataURI": "https://example.com/00420011"}
+    assert "InlineBinary" in json.loads(dataset_json(e))["00420011"]
+    f = encode_file([((), 0x00100010, "PN", b"Doe^Jane", False)], EXPLICIT, "1.2", "2.25.7")
+    assert [x for x in lines(f, meta=False)] == [f"(0010,0010) {'PatientName':36} PN: Doe^Jane"]
+
+
+def test_uids_and_colour():
+    from voxelake.operators.images import UID_ROOT, color_by_pixel, expand_422
+
+    import hashlib
+
+    assert (UID_ROOT + str(int(hashlib.sha512(b"loremipsum").hexdigest(), 16)))[:64] == "1.2.826.0.1.3680043.8.498.87507166259346337659265156363895084463"
+    assert list(expand_422(bytes([10, 20, 30, 40]))) == [10, 30, 40, 20, 30, 40] and color_by_pixel(b"adbecf", 3, 8) == b"abcdef"

@@ -337,3 +337,32 @@ def encode_file(elements: list[tuple], uid: str, sop_class: str, sop_instance: s
             0x00020012: ("UI", IMPLEMENTATION_UID.encode()), 0x00020013: ("SH", IMPLEMENTATION_NAME.encode())}
     body = b"".join(element_bytes(t, vr, raw, False, True) for t, (vr, raw) in sorted(meta.items()))
     return (preamble or bytes(128)) + b"DICM" + element_bytes(0x00020000, "UL", struct.pack("<I", len(body)), False, True) + body + encode_dataset(elements, uid)
+
+
+#: What a complete group 2 must hold.
+REQUIRED_META = (0x00020001, 0x00020002, 0x00020003, 0x00020010, 0x00020012)
+
+
+def missing_meta(tags: set[int]) -> list[int]:
+    """Required elements of group 2 that are not among `tags`; groups other than 2 are an error."""
+    if any(t >> 16 != 2 for t in tags):
+        raise ValueError("only group 0002 belongs to the file meta information")
+    return [t for t in REQUIRED_META if t not in tags]
+
+
+def write_encoding(meta_uid: str | None, implicit: bool | None = None, little: bool | None = None) -> tuple[bool, bool]:
+    """(implicit, little endian) to write with: the file meta's transfer syntax, which options must
+    not contradict, else both options. Known UIDs that are no transfer syntax are an error, private
+    ones need both options; implicit big endian does not exist."""
+    if meta_uid in TRANSFER_SYNTAXES:
+        want = syntax(meta_uid)[:2]
+        if (implicit, little) != (None, None) and (implicit if implicit is not None else want[0], little if little is not None else want[1]) != want:
+            raise ValueError("the options contradict the transfer syntax")
+        return want
+    if meta_uid is not None and meta_uid.startswith("1.2.840.10008."):
+        raise ValueError(f"{meta_uid} is no transfer syntax")
+    if implicit is None or little is None:
+        raise ValueError("without a known transfer syntax both options are needed")
+    if implicit and not little:
+        raise ValueError("implicit big endian does not exist")
+    return implicit, little
