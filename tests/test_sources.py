@@ -30,6 +30,19 @@ def test_files_and_source(spark, tmp_path):
     assert got.where("depth = 1").count() == 5
 
 
+def test_pushdown_changes_no_rows(spark, tmp_path):
+    """A filter on tag gives the rows that filtering all elements gives, nested ones too."""
+    spark.dataSource.register(DicomSource)
+    for i in range(3):
+        (tmp_path / f"{i}.dcm").write_bytes(some(i))
+    e = spark.read.format("dicom").load(str(tmp_path))
+    every = e.collect()
+    name, patient, sequence, kind = 0x00100010, 0x00100020, 0x0040A730, 0x0040A040
+    for text, tags in ((f"tag = {kind}", {kind}), (f"tag in ({patient}, {sequence})", {patient, sequence}), (f"tag in ({name}, {kind}) and tag = {kind}", {kind})):
+        want = sorted((tuple(r) for r in every if r.tag in tags), key=repr)
+        assert rows(e.where(text)) == want and len(want) == 3 * len(tags)
+
+
 def test_modes_and_bad_data(spark):
     good, cut = some(1), some(2)[:-3]
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(cut)), (3, bytearray(b"no file")), (4, None), (None, bytearray(good))], "k bigint, content binary")

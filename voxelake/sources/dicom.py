@@ -39,9 +39,12 @@ def _pairs(path: tuple) -> list[dict]:
     return [{"tag": t, "item": i} for t, i in path]
 
 
-def element_rows(r: Reader, meta_little: bool = True) -> Iterator[tuple]:
-    """Rows of FIELDS of all elements; a value that doesn't convert keeps its bytes and the reason."""
+def element_rows(r: Reader, meta_little: bool = True, wanted: frozenset | None = None) -> Iterator[tuple]:
+    """Rows of FIELDS of all elements, or those of the wanted tags at any depth; a value that doesn't
+    convert keeps its bytes and the reason."""
     for pos, e in enumerate(r.elements):
+        if wanted is not None and e.tag not in wanted:
+            continue
         error, strings = None, None
         try:
             strings = values_of(e.vr, e.raw, meta_little if e.tag >> 16 == 2 else r.little, e.charsets)
@@ -211,21 +214,20 @@ class DicomPartition(InputPartition):
 
 
 class DicomReader(DataSourceReader):
-    """Batches of files; a filter on tag reaches the parser, which skips all other values."""
+    """Batches of files; with a filter on tag only values of its tags are converted, at every depth."""
 
     BATCH = 256
 
     def __init__(self, options: dict):
-        self.root, self.tags = options["path"], None
+        self.root, self.wanted = options["path"], None
         self.stop = str(options.get("stopbeforepixels", "false")).lower() == "true"
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("tag",):
-                self.tags = frozenset({f.value})
-            elif isinstance(f, In) and f.attribute == ("tag",):
-                self.tags = frozenset(f.value)
-            yield f  # Spark checks again; elements below unlisted sequences stay out here
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("tag",):
+                listed = frozenset({f.value} if isinstance(f, EqualTo) else f.value)
+                self.wanted = listed if self.wanted is None else self.wanted & listed
+            yield f  # Spark checks again
 
     def partitions(self):
         root = Path(self.root)
@@ -237,10 +239,10 @@ class DicomReader(DataSourceReader):
             with open(name, "rb") as f:
                 data = f.read()
             try:
-                _, r = parse_file(data, tags=self.tags, stop_before_pixels=self.stop)
+                _, r = parse_file(data, stop_before_pixels=self.stop)
             except ValueError:
                 continue
-            rows = list(element_rows(r))
+            rows = list(element_rows(r, wanted=self.wanted))
             yield _elements_batch(pa.array([name]), "file", [0] * len(rows), rows)
 
 
