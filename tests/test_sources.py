@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import time
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -88,3 +89,22 @@ def test_values(spark):
 def test_private_dictionary_extras(spark):
     assert dict_private(spark, [("X", "0019xx01", "DS", "1", "n")]).count() == 2
     assert el.before_pixels(spark.createDataFrame([], "tag bigint")).count() == 0
+
+
+def test_refused_files_leave_a_row(spark, tmp_path):
+    spark.dataSource.register(DicomSource)
+    (tmp_path / "good.dcm").write_bytes(some(1))
+    (tmp_path / "bad.dcm").write_bytes(b"no file")
+    (tmp_path / "cut.dcm").write_bytes(some(2)[:-3])
+    read = lambda **o: spark.read.format("dicom").options(**o).load(str(tmp_path))
+    q = stream_elements(spark, str(tmp_path)).writeStream.format("memory").queryName("refusals").start()
+    try:
+        q.processAllAvailable()
+        for e in (read(), read_dicom(spark, str(tmp_path)), spark.table("refusals")):
+            assert [(r.file.endswith("bad.dcm"), r.value_error) for r in e.where("tag is null").collect()] == [(True, "no DICM prefix")]
+    finally:
+        q.stop()
+    assert {r.file.split("/")[-1] for r in read(mode="DROPMALFORMED").collect()} == {"good.dcm"}
+    assert read_dicom(spark, str(tmp_path), refused=False).where("tag is null").count() == 0
+    with pytest.raises(Exception, match="no DICM prefix|damaged dataset"):
+        read(mode="FAILFAST").collect()

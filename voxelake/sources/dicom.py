@@ -53,6 +53,11 @@ def element_rows(r: Reader, meta_little: bool = True, wanted: frozenset | None =
         yield (e.tag >> 16 == 2 and not e.path, _pairs(e.path), len(e.path), pos, e.tag, e.vr, e.creator, e.undefined, e.deferred, e.offset, e.length, e.raw, strings, e.charsets, error)
 
 
+def refused_row(reason: Exception) -> tuple:
+    """The row of FIELDS of data that is no file: nulls and the reason."""
+    return (*(None for _ in FIELDS[:-1]), str(reason))
+
+
 def _elements_batch(keys: pa.Array, key: str, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
     return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *(pa.array(c, f[1]) for c, f in zip(cols, FIELDS, strict=True))], names=[key, *(f[0] for f in FIELDS)])
@@ -73,6 +78,7 @@ def parse_elements(
     defer_size: int = 0,
     force: bool = False,
     mode: str = "PERMISSIVE",
+    refused: bool = False,
 ) -> DataFrame:
     """The elements of every byte string: `key` and FIELDS, nested ones with their path.
 
@@ -80,8 +86,9 @@ def parse_elements(
     group 2 and the character set), at every depth, below kept sequences. defer_size: values longer
     than this stay out (`deferred`), to be fetched by `load_deferred`.
     mode: PERMISSIVE keeps what was read before damage, DROPMALFORMED drops datasets with any
-    diagnostic, FAILFAST raises. Null data gives no rows; data that is no file raises only under
-    FAILFAST. One narrow pass, a file at a time.
+    diagnostic, FAILFAST raises. Null data gives no rows; data that is no file raises under FAILFAST
+    and gives no rows otherwise, but with `refused` one row under PERMISSIVE: nulls and the reason as
+    value_error. One narrow pass, a file at a time.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -96,9 +103,12 @@ def parse_elements(
                     continue
                 try:
                     _, r = _parse(blob, transfer_syntax, force, options)
-                except ValueError:
+                except ValueError as x:
                     if mode == "FAILFAST":
                         raise
+                    if refused and mode == "PERMISSIVE":
+                        rows.append(refused_row(x))
+                        at.append(i)
                     continue
                 if r.diagnostics and mode == "FAILFAST":
                     raise ValueError(f"damaged dataset: {r.diagnostics[0]}")
@@ -164,9 +174,10 @@ def parse_files(df: DataFrame, *, key: str, data: str = "content", force: bool =
 
 
 def read_dicom(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The elements of all files below a path, keyed by file path."""
+    """The elements of all files below a path, keyed by file path; one row with the reason for a file
+    that is none, unless `refused` is false."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return parse_elements(files.select(F.col("path").alias("file"), "content"), key="file", **options)
+    return parse_elements(files.select(F.col("path").alias("file"), "content"), key="file", **{"refused": True, **options})
 
 
 def load_deferred(elements: DataFrame, contents: DataFrame, *, key: str, data: str = "content") -> DataFrame:
@@ -221,6 +232,9 @@ class DicomReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.wanted = options["path"], None
         self.stop = str(options.get("stopbeforepixels", "false")).lower() == "true"
+        self.mode = str(options.get("mode", MODES[0])).upper()
+        if self.mode not in MODES:
+            raise ValueError(f"mode must be one of {MODES}")
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
@@ -240,7 +254,15 @@ class DicomReader(DataSourceReader):
                 data = f.read()
             try:
                 _, r = parse_file(data, stop_before_pixels=self.stop)
-            except ValueError:
+            except ValueError as x:
+                if self.mode == "FAILFAST":
+                    raise
+                if self.mode == "PERMISSIVE":
+                    yield _elements_batch(pa.array([name]), "file", [0], [refused_row(x)])
+                continue
+            if r.diagnostics and self.mode == "FAILFAST":
+                raise ValueError(f"damaged dataset: {r.diagnostics[0]}")
+            if r.diagnostics and self.mode == "DROPMALFORMED":
                 continue
             rows = list(element_rows(r, wanted=self.wanted))
             yield _elements_batch(pa.array([name]), "file", [0] * len(rows), rows)
@@ -269,7 +291,10 @@ class DicomWriter(DataSourceWriter):
 
 
 class DicomSource(DataSource):
-    """spark.dataSource.register(DicomSource), then format("dicom") reads elements and writes files."""
+    """spark.dataSource.register(DicomSource), then format("dicom") reads elements and writes files.
+
+    Option mode as for `parse_elements`; under PERMISSIVE a file that is none gives one row with the
+    reason as value_error."""
 
     @classmethod
     def name(cls) -> str:
