@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelake.session import cut_lineage
+
 #: Letters that look like a Latin one, by script.
 CYRILLIC_LATIN = dict(zip("аеорсухіѕјһԁԛԝӧӓӱАВЕКМНОРСТХІЅЈУӦӒЁё", "aeopcyxisjhdqwöäÿABEKMHOPCTXISJYÖÄËë", strict=True))
 GREEK_LATIN = dict(zip("οαινρυκγχτΑΒΕΖΗΙΚΜΝΟΡΤΥΧϊΪΫ", "oaivpukyxtABEZHIKMNOPTYXïÏŸ", strict=True))
@@ -126,8 +128,9 @@ def canonical_texts(names: DataFrame, *, components: tuple[str, ...] = ("alphabe
     """(component, text, canonical): each distinct text of the components in its one form.
 
     The vocabulary is every token of one script in the whole corpus, of the same component, and
-    every result that at least two different mixed tokens lead to. Texts are made distinct before
-    anything else is shuffled, so copies of one text, however many, cost one row. Null texts have no
+    every result that at least two different mixed tokens lead to (the corpus may hold a name in mixed
+    spellings only). Texts are made distinct before anything else is shuffled, so copies of one text,
+    however many, cost one row; each is analysed once and the analysis written to the shared folder. Null texts have no
     row; empty texts stay empty. Whole texts are treated, whatever their length.
     """
     stacked = names.select(F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("text")) for c in components))).alias("x"))
@@ -146,7 +149,7 @@ def canonical_texts(names: DataFrame, *, components: tuple[str, ...] = ("alphabe
                 names=["component", "text", "folded", "parts", "subs"],
             )
 
-    read = texts.mapInArrow(run, "component string, text string, folded string, parts array<string>, subs array<string>")
+    read = cut_lineage(texts.mapInArrow(run, "component string, text string, folded string, parts array<string>, subs array<string>"))
     mixed = read.where("subs IS NOT NULL")
     proposals = (
         mixed.select("component", F.explode(F.arrays_zip("parts", "subs")).alias("p"))
@@ -162,10 +165,10 @@ def canonical_texts(names: DataFrame, *, components: tuple[str, ...] = ("alphabe
         .distinct()
     )
     twice = proposals.groupBy("component", "result").agg(F.count("*").alias("n")).where("n > 1").select("component", "result")
-    known = proposals.join(plain.union(twice).distinct(), ["component", "result"], "left_semi")
+    known = proposals.join(plain.union(twice).distinct().hint("merge"), ["component", "result"], "left_semi")
     placed = mixed.select("component", "text", F.posexplode("parts").alias("at", "token"))
     repaired = (
-        placed.join(known, ["component", "token"], "left")
+        placed.join(known.hint("merge"), ["component", "token"], "left")
         .groupBy("component", "text")
         .agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("result", "token").alias("token")))).alias("ps"))
         .select("component", "text", F.array_join(F.transform("ps", lambda p: p["token"]), "").alias("canonical"))
@@ -179,7 +182,7 @@ def unify(names: DataFrame, *, key: str = "name_id", components: tuple[str, ...]
     out = names.select(key, *components)
     for c in components:
         one = canon.where(F.col("component") == c).select(F.col("text").alias(c), F.col("canonical").alias(f"__{c}"))
-        out = out.join(one, c, "left")
+        out = out.join(one.hint("merge"), c, "left")
     return out.select(key, *(F.col(f"__{c}").alias(c) for c in components))
 
 
@@ -189,16 +192,12 @@ def look_alike_pairs(names: DataFrame, *, key: str = "name_id", components: tupl
     Pairs are found between distinct texts of one canonical form, then carried to the rows that
     hold them, so copies of one text meet only through texts that differ.
     """
-    canon = canonical_texts(names, components=components)
-    several = canon.groupBy("component", "canonical").agg(F.collect_list("text").alias("texts")).where(F.size("texts") > 1)
-    pairs = (
-        several.select("component", F.explode("texts").alias("text_a"), "texts")
-        .select("component", "text_a", F.explode("texts").alias("text_b"))
-        .where("text_a < text_b")
-    )
+    canon = cut_lineage(canonical_texts(names, components=components))
+    x, y = (canon.select("component", "canonical", F.col("text").alias(f"text_{n}")) for n in "ab")
+    pairs = x.join(y.hint("merge"), ["component", "canonical"]).where("text_a < text_b").select("component", "text_a", "text_b")
     stacked = names.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("text")) for c in components))).alias("x"))
     rows = stacked.where(f"x.text IS NOT NULL AND {key} IS NOT NULL").select(key, "x.component", "x.text")
     a = rows.select(F.col(key).alias("a"), "component", F.col("text").alias("text_a"))
     b = rows.select(F.col(key).alias("b"), "component", F.col("text").alias("text_b"))
-    met = pairs.join(a, ["component", "text_a"]).join(b, ["component", "text_b"]).where("a <> b")
+    met = pairs.join(a.hint("merge"), ["component", "text_a"]).join(b.hint("merge"), ["component", "text_b"]).where("a <> b")
     return met.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
