@@ -133,7 +133,8 @@ def item_elements(nodes: DataFrame, *, key: str = "rec_id") -> DataFrame:
     """One row per element inside an item: key, sequence_path, item_no, tag, vr, node, item_node.
 
     Object nodes joined with their element children; records' own top-level elements, which stand
-    in no item, fall out because the record's object has no parent.
+    in no item, fall out because the record's object has no parent. The nodes are read twice, so a
+    caller that has just shredded them writes them down first (`cut_lineage`).
     """
     items = nodes.where("kind = 'object' AND parent IS NOT NULL").select(
         key, F.col("node").alias("item_node"), "sequence_path", F.col("ordinal").alias("item_no")

@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every element that stands in an item of a sequence, at any depth."""
-    return item_elements(shred(table(spark, d, "dicom_json"))).select("rec_id", "sequence_path", "item_no", "tag")
+    return item_elements(cut_lineage(shred(table(spark, d, "dicom_json")))).select("rec_id", "sequence_path", "item_no", "tag")
 
 
 def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
