@@ -168,7 +168,8 @@ def test_json_and_dump():
 
 
 def test_uids_and_colour():
-    from voxelake.operators.images import UID_ROOT, color_by_pixel, expand_422
+    from voxelake.codec.pixels import expand_422
+    from voxelake.operators.images import UID_ROOT, color_by_pixel
 
     import hashlib
 

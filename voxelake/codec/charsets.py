@@ -52,15 +52,26 @@ def decode(data: bytes, sets: list[str] | None, delimiters: bytes = b"") -> str:
     return "".join(out)
 
 
-def encode(text: str, sets: list[str] | None, delimiters: str = "") -> bytes:
+def _bytes(text: str, name: str, errors: str = "strict") -> bytes:
+    """Bytes of `text` in one set. JIS X 0201 has one byte a character; its Python codec knows more."""
+    data = text.encode("ascii" if name == "ISO_IR 6" else CODECS[name], errors)
+    if name == "ISO_IR 13" and len(data) != len(text):
+        if errors == "strict":
+            raise UnicodeEncodeError("JIS X 0201", text, 0, len(text), "not in this set")
+        return b"".join(b if len(b := c.encode(CODECS[name], errors)) == 1 else b"?" for c in text)
+    return data
+
+
+def encode(text: str, sets: list[str] | None, delimiters: str = "", errors: str = "strict") -> bytes:
     """Bytes of `text`: in the first set if it fits, else each run in the first set that holds it,
-    with its escape; runs end at delimiters. Characters that no set holds become ?."""
+    with its escape; runs end at delimiters. Characters that no set holds are an error (a ValueError),
+    or become ? where `errors` is "replace"."""
     names = [base_name(s) for s in sets or []] or ["ISO_IR 6"]
     try:
-        return text.encode("ascii" if names[0] == "ISO_IR 6" else CODECS[names[0]])
+        return _bytes(text, names[0])
     except UnicodeEncodeError:
         if len(names) == 1:
-            return text.encode("ascii" if names[0] == "ISO_IR 6" else CODECS[names[0]], "replace")
+            return _bytes(text, names[0], errors)
     out = bytearray()
     for part in re.split(f"([{re.escape(delimiters)}])", text) if delimiters else [text]:
         while part:
@@ -71,9 +82,8 @@ def encode(text: str, sets: list[str] | None, delimiters: str = "") -> bytes:
             else:
                 name, n = names[0], 1
             run, part = part[:n], part[n:]
-            codec = "ascii" if name == "ISO_IR 6" else CODECS[name]
-            data = run.encode(codec, "replace")
-            if name == names[0] or codec.startswith("iso2022"):
+            data = _bytes(run, name, errors)
+            if name == names[0] or CODECS[name].startswith("iso2022"):
                 out += data
             else:
                 out += ESCAPES.get(name, b"") + data
@@ -81,10 +91,9 @@ def encode(text: str, sets: list[str] | None, delimiters: str = "") -> bytes:
 
 
 def _fits(text: str, name: str) -> int:
-    codec = "ascii" if name == "ISO_IR 6" else CODECS[name]
     for i, c in enumerate(text):
         try:
-            c.encode(codec)
+            _bytes(c, name)
         except UnicodeEncodeError:
             return i
     return len(text)

@@ -7,7 +7,7 @@ import zlib
 from dataclasses import dataclass, field
 
 from voxelake.codec import charsets
-from voxelake.dictionary import TRANSFER_SYNTAXES, lookup_vr
+from voxelake.dictionary import SEED, TRANSFER_SYNTAXES, Dictionary
 
 ITEM, ITEM_END, SEQ_END, PIXEL_DATA, CHARSET = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD, 0x7FE00010, 0x00080005
 UNDEFINED = 0xFFFFFFFF
@@ -19,6 +19,8 @@ TEXT = frozenset("AE AS CS DA DS DT IS LO LT PN SH ST TM UC UI UR UT".split())
 WHOLE = frozenset("LT ST UT UR".split())  # never split at a backslash
 ENCODED = frozenset("LO LT PN SH ST UC UT".split())  # under the character set of the dataset
 NUL_PADDED = frozenset("UI OB OD OF OL OV OW UN".split())
+#: Bytes of one number of a representation, for a change of byte order.
+WIDTHS = {**{vr: struct.calcsize(c) for vr, c in NUMBERS.items()}, "AT": 2, "OW": 2, "OL": 4, "OF": 4, "OD": 8, "OV": 8}
 
 
 @dataclass
@@ -51,7 +53,8 @@ class Element:
 
 @dataclass
 class Reader:
-    """Reads one byte string. Options as for `read_dicom`."""
+    """Reads one byte string, or a `FileBytes` of which only what is looked at is fetched. Options as
+    for `read_dicom`; `values`: the tags whose bytes are wanted, all where None."""
 
     data: bytes
     implicit: bool
@@ -59,6 +62,8 @@ class Reader:
     tags: frozenset | None = None
     stop_before_pixels: bool = False
     defer_size: int = 0
+    dictionary: Dictionary = field(default_factory=lambda: SEED)
+    values: frozenset | None = None
     elements: list = field(default_factory=list)
     diagnostics: list = field(default_factory=list)
 
@@ -86,7 +91,7 @@ class Reader:
                 return (vr, self.u32(at + 8), 12) if at + 12 <= end else None
         if at + 8 > end:
             return None
-        return lookup_vr(tag, creators.get((tag >> 16, (tag & 0xFFFF) >> 8))), self.u32(at + 4), 8
+        return self.dictionary.vr(tag, creators.get((tag >> 16, (tag & 0xFFFF) >> 8))), self.u32(at + 4), 8
 
     def read(self, at: int, end: int, path: tuple = (), sets: list | None = None, closing: bool = False, only_group: int | None = None) -> int:
         """Elements from `at`; returns the place after the last one read."""
@@ -100,7 +105,7 @@ class Reader:
                 return at
             if tag in (ITEM_END, SEQ_END):
                 return at + 8 if closing else at
-            if self.stop_before_pixels and tag == PIXEL_DATA:
+            if self.stop_before_pixels and tag == PIXEL_DATA and not path:
                 return end
             head = self.header(at, end, tag, creators)
             if head is None:
@@ -109,6 +114,7 @@ class Reader:
             vr, length, size = head
             body = at + size
             keep = self.tags is None or tag in self.tags or tag >> 16 == 2 or tag == CHARSET
+            keep = keep and not (self.stop_before_pixels and tag == PIXEL_DATA)  # an item's: what follows it still counts
             if vr == "SQ" or (vr == "UN" and length == UNDEFINED):
                 place = len(self.elements)
                 mark = Element(path, tag, "SQ", None, body, length if length != UNDEFINED else 0, length == UNDEFINED, charsets=sets)
@@ -127,20 +133,23 @@ class Reader:
             if length == UNDEFINED:
                 stop = self.encapsulated_end(body, end)
                 if keep:
-                    self.elements.append(Element(path, tag, vr, self.data[body:stop], body, stop - body, True, charsets=sets))
+                    late = bool(self.defer_size) and stop - body > self.defer_size
+                    asked = not late and (self.values is None or tag in self.values)
+                    self.elements.append(Element(path, tag, vr, self.data[body:stop] if asked else None, body, stop - body, True, late, sets))
                 at = min(stop + 8, end)
                 continue
             if body + length > end:
                 self.say("truncated_value", tag, vr, body, path, length, end - body)
                 return end
-            raw = self.data[body : body + length]
+            late = bool(self.defer_size) and length > self.defer_size and tag != CHARSET
+            asked = keep and not late and (self.values is None or tag in self.values)
+            raw = self.data[body : body + length] if asked or tag == CHARSET or (tag >> 16 & 1 and 0x10 <= tag & 0xFFFF <= 0xFF) else None
             if tag >> 16 & 1 and 0x10 <= tag & 0xFFFF <= 0xFF:
                 creators[tag >> 16, tag & 0xFF] = raw.decode("latin-1").strip(" \0")
             if tag == CHARSET:
                 sets = raw.decode("latin-1").rstrip(" \0").split("\\")
             if keep:
-                late = bool(self.defer_size) and length > self.defer_size and tag != CHARSET
-                self.elements.append(Element(path, tag, vr, None if late else raw, body, length, False, late, sets, creators.get((tag >> 16, (tag & 0xFFFF) >> 8))))
+                self.elements.append(Element(path, tag, vr, raw, body, length, False, late, sets, creators.get((tag >> 16, (tag & 0xFFFF) >> 8))))
             at = body + length
         return at
 
@@ -189,14 +198,33 @@ def syntax(uid: str | None) -> tuple[bool, bool, bool]:
     return uid == "1.2.840.10008.1.2", uid != "1.2.840.10008.1.2.2", uid == "1.2.840.10008.1.2.1.99"
 
 
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """(what could be inflated, what went wrong)."""
+    d, out = zlib.decompressobj(-15), bytearray()
+    try:
+        for at in range(0, len(data), 4096):
+            out += d.decompress(data[at : at + 4096])
+        out += d.flush()
+    except zlib.error as x:
+        return bytes(out), f"damaged deflated data: {x}"
+    return bytes(out), None if d.eof else "the deflated data end too early"
+
+
+def _read(data: bytes, at: int, implicit: bool, little: bool, deflated: bool, options: dict) -> Reader:
+    body, fault = inflate(data[at:]) if deflated else (data, None)
+    r = Reader(body, implicit, little, **options)
+    r.read(0 if deflated else at, len(body))
+    if fault:
+        r.diagnostics.append(Diagnostic("invalid_value", None, None, len(body), (), message=fault))
+    return r
+
+
 def parse_dataset(data: bytes, uid: str, **options) -> Reader:
     """A bare dataset of a known transfer syntax."""
     if uid not in TRANSFER_SYNTAXES:
         raise ValueError(f"unknown transfer syntax {uid}")
     implicit, little, deflated = syntax(uid)
-    r = Reader(zlib.decompress(data, -15) if deflated else data, implicit, little, **options)
-    r.read(0, len(r.data))
-    return r
+    return _read(data, 0, implicit, little, deflated, options)
 
 
 def parse_file(data: bytes, force: bool = False, **options) -> tuple[dict, Reader]:
@@ -211,13 +239,12 @@ def parse_file(data: bytes, force: bool = False, **options) -> tuple[dict, Reade
         at = meta.read(at, len(data), only_group=2)
     uid = next((e.raw.decode("latin-1").rstrip(" \0") for e in meta.elements if e.tag == 0x00020010), None)
     implicit, little, deflated = syntax(uid)
+    vr_of = options.get("dictionary", SEED).vr
     if uid is None:
         implicit, little = True, True
         if len(data) >= at + 6 and data[at + 4 : at + 6].isalpha() and data[at + 4 : at + 6].isupper():
-            implicit, little = False, not (data[at] == 0 and data[at + 1] and lookup_vr(int.from_bytes(data[at : at + 2], "big") << 16 | int.from_bytes(data[at + 2 : at + 4], "big")) != "UN")
-    body = zlib.decompressobj(-15).decompress(data[at:]) if deflated else data
-    r = Reader(body, implicit, little, **options)
-    r.read(0 if deflated else at, len(body))
+            implicit, little = False, not (data[at] == 0 and data[at + 1] and vr_of(int.from_bytes(data[at : at + 2], "big") << 16 | int.from_bytes(data[at + 2 : at + 4], "big")) != "UN")
+    r = _read(data, at, implicit, little, deflated, options)
     if uid is not None and uid not in TRANSFER_SYNTAXES:
         r.say("invalid_value", 0x00020010, "UI", 0, ())
     sets = next((e.raw.decode("latin-1").rstrip(" \0").split("\\") for e in r.elements if e.tag == CHARSET and not e.path and e.raw), None)
@@ -251,8 +278,25 @@ def values_of(vr: str, raw: bytes | None, little: bool, sets: list | None = None
     return [p.strip(" ") for p in parts] if vr in ("AE", "CS", "DS", "IS", "LO", "SH") else [p.rstrip(" \0") for p in parts]
 
 
+def swapped(vr: str, raw: bytes, undefined: bool = False) -> bytes:
+    """A value in the other byte order. Encapsulated data, text and plain bytes are the same in both."""
+    size = WIDTHS.get(vr, 1)
+    if size == 1 or undefined:
+        return raw
+    if len(raw) % size:
+        raise ValueError(f"{len(raw)} bytes of {vr} are no multiple of {size}")
+    return b"".join(raw[i : i + size][::-1] for i in range(0, len(raw), size)) if size != 2 else _swap_pairs(raw)
+
+
+def _swap_pairs(raw: bytes) -> bytes:
+    out = bytearray(raw)
+    out[0::2], out[1::2] = raw[1::2], raw[0::2]
+    return bytes(out)
+
+
 def to_raw(vr: str, values: list, little: bool, sets: list | None = None) -> bytes:
-    """Value bytes of text or number values, padded to even length."""
+    """Value bytes of text or number values, padded to even length. Text that the character sets can't
+    hold is an error."""
     if vr in NUMBERS:
         kind = float if vr in ("FL", "FD") else int
         return struct.pack(f"{'<' if little else '>'}{len(values)}{NUMBERS[vr]}", *(kind(v) for v in values))
@@ -260,7 +304,7 @@ def to_raw(vr: str, values: list, little: bool, sets: list | None = None) -> byt
         order = "little" if little else "big"
         return b"".join(int(v[:4], 16).to_bytes(2, order) + int(v[4:], 16).to_bytes(2, order) for v in values)
     text = "\\".join("" if v is None else str(v) for v in values)
-    return pad(vr, charsets.encode(text, sets, "^=\\" if vr == "PN" else "\\\r\n\t\f") if vr in ENCODED else text.encode("latin-1", "replace"))
+    return pad(vr, charsets.encode(text, sets, "^=\\" if vr == "PN" else "\\\r\n\t\f") if vr in ENCODED else text.encode("latin-1"))
 
 
 def pad(vr: str, raw: bytes) -> bytes:
@@ -328,13 +372,20 @@ def encode_dataset(elements: list[tuple], uid: str) -> bytes:
 IMPLEMENTATION_UID, IMPLEMENTATION_NAME = "2.25.329800735698586629295641978511506172918", "VOXELAKE_1"
 
 
-def encode_file(elements: list[tuple], uid: str, sop_class: str, sop_instance: str, preamble: bytes | None = None) -> bytes:
+def encode_file(elements: list[tuple], uid: str, sop_class: str | None, sop_instance: str | None, preamble: bytes | None = None, meta_among: bool = False) -> bytes:
     """A Part 10 file: preamble, complete group 2 with its length, dataset. Groups 0 and 2 have no
-    place among the elements."""
+    place among the elements, unless `meta_among` says that group 2 there is the file's own: it then
+    goes before what is made here, but for its length and transfer syntax. A missing required element
+    is an error."""
+    given = {t: (vr, raw) for p, t, vr, raw, *_ in elements if not p and t >> 16 == 2}
+    elements = [e for e in elements if e[0] or e[1] >> 16 != 2] if meta_among else elements
     if any(not p and t >> 16 in (0, 2) for p, t, *_ in elements):
         raise ValueError("groups 0000 and 0002 don't belong to the dataset")
-    meta = {0x00020001: ("OB", b"\0\1"), 0x00020002: ("UI", sop_class.encode()), 0x00020003: ("UI", sop_instance.encode()), 0x00020010: ("UI", uid.encode()),
+    meta = {0x00020001: ("OB", b"\0\1"), 0x00020002: ("UI", (sop_class or "").encode()), 0x00020003: ("UI", (sop_instance or "").encode()), 0x00020010: ("UI", uid.encode()),
             0x00020012: ("UI", IMPLEMENTATION_UID.encode()), 0x00020013: ("SH", IMPLEMENTATION_NAME.encode())}
+    meta = {t: v for t, v in {**meta, **{t: v for t, v in given.items() if t not in (0x00020000, 0x00020010)}}.items() if v[1]}
+    if missing := missing_meta(set(meta)):
+        raise ValueError("the file meta information lacks " + ", ".join(f"({t >> 16:04X},{t & 0xFFFF:04X})" for t in missing))
     body = b"".join(element_bytes(t, vr, raw, False, True) for t, (vr, raw) in sorted(meta.items()))
     return (preamble or bytes(128)) + b"DICM" + element_bytes(0x00020000, "UL", struct.pack("<I", len(body)), False, True) + body + encode_dataset(elements, uid)
 

@@ -81,6 +81,38 @@ def fragment(frame: bytes, n: int) -> list[bytes]:
     return [p + b"\0" * (len(p) % 2) for p in parts]
 
 
+def single_frame(data: bytes, index: int, n: int = 1, eot: tuple[list[int], list[int]] | None = None) -> bytes:
+    """One frame. With a table only the frame's own bytes are cut out; else its fragments are looked for."""
+    if index < 0 or index >= (len(eot[0]) if eot else max(n, 1)):
+        raise ValueError(f"there is no frame {index}")
+    table, rest = split_offsets(data)
+    if eot:
+        at, size = eot[0][index], eot[1][index]
+        if at + 8 + size > len(rest):
+            raise ValueError("the extended offset table points beyond the data")
+        return rest[at + 8 : at + 8 + size]
+    if index < len(table):
+        to = table[index + 1] if index + 1 < len(table) else len(rest)
+        return b"".join(b for _, b in fragments_of(rest[table[index] : to]))
+    found = frames_of(data, n)
+    if index >= len(found):
+        raise ValueError(f"there is no frame {index}")
+    return found[index]
+
+
+def count_fragments(data: bytes) -> int:
+    """The fragments after the offset table."""
+    return len(fragments_of(split_offsets(data)[1]))
+
+
+def extended_table(offsets: bytes | None, lengths: bytes | None) -> tuple[list[int], list[int]] | None:
+    """Offsets and lengths of (7FE0,0001) and (7FE0,0002); None where they are absent or don't agree."""
+    n = len(offsets or b"") // 8
+    if not n or len(lengths or b"") // 8 != n:
+        return None
+    return tuple(list(struct.unpack(f"<{n}Q", x[: 8 * n])) for x in (offsets, lengths))
+
+
 def encapsulate(frames: list[bytes], per_frame: int = 1, table: bool = True) -> bytes:
     """Offset table (empty unless wanted), then every frame's fragments."""
     bodies = [b"".join(itemise(p) for p in fragment(f, per_frame)) for f in frames]
@@ -165,14 +197,28 @@ CODECS: dict[str, tuple[Callable, Callable]] = {
 
 
 def register_codec(uid: str, decode: Callable, encode: Callable) -> None:
-    """Add a codec, such as one of the JPEG family where a library is at hand."""
+    """Add a codec, such as one of the JPEG family where a library is at hand. Operators take the
+    codecs registered on the driver along into their tasks (`registered`)."""
     CODECS[uid] = (decode, encode)
 
 
-def decode_frame(uid: str, data: bytes, rows: int, columns: int, samples: int, bits: int) -> bytes:
-    if uid not in CODECS:
+def registered() -> dict[str, tuple[Callable, Callable]]:
+    """A copy of all codecs, to be pickled with a task's function."""
+    return dict(CODECS)
+
+
+def decode_frame(uid: str, data: bytes, rows: int, columns: int, samples: int, bits: int, codecs: dict | None = None) -> bytes:
+    known = CODECS if codecs is None else codecs
+    if uid not in known:
+        raise ValueError(f"unsupported transfer syntax {uid}")
+    return known[uid][0](data, rows, columns, samples, bits)
+
+
+def encode_frame(uid: str, data: bytes, rows: int, columns: int, samples: int, bits: int, codecs: dict | None = None) -> bytes:
+    known = CODECS if codecs is None else codecs
+    if uid not in known:
         raise ValueError(f"unsupported transfer syntax {uid}")
-    return CODECS[uid][0](data, rows, columns, samples, bits)
+    return known[uid][1](data, rows, columns, samples, bits)
 
 
 def unpack_samples(data: bytes, bits: int, signed: bool, little: bool = True) -> np.ndarray:

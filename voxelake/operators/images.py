@@ -6,17 +6,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.codec import frames as fr
-from voxelake.codec.json_model import dataset_json
+from voxelake.dictionary import NATIVE
 from voxelake.functions.tags import tag_text
 
-NATIVE = ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.2")
 #: Fixed value: the root under which entropy-based UIDs are made by default.
 UID_ROOT = "1.2.826.0.1.3680043.8.498."
 
@@ -52,14 +50,16 @@ def encapsulated_frames(images: DataFrame, *, key: str, data: str, n_frames: str
 
 
 def decode_frames(frames: DataFrame, *, keys: list[str], rows: str, columns: str, samples: str, bits: str, syntax: str) -> DataFrame:
-    """`frame` decoded by the codec of each row's transfer syntax; native frames stay as they are."""
+    """`frame` decoded by the codec of each row's transfer syntax, registered ones included; native frames
+    stay as they are."""
     kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    codecs = fr.registered()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = len(keys)
             out = [
-                f if f is None or uid in NATIVE else fr.decode_frame(uid, f, *shape)
+                f if f is None or uid in NATIVE else fr.decode_frame(uid, f, *shape, codecs)
                 for f, uid, *shape in zip(*(b.column(i).to_pylist() for i in range(n, n + 6)), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.binary())], names=[*keys, "frame"])
@@ -131,21 +131,6 @@ def walk_order(elements: DataFrame, *, key: str) -> DataFrame:
     return elements.withColumn("walk_idx", F.row_number().over(Window.partitionBy(key).orderBy(steps)))
 
 
-def nested_json(elements: DataFrame, *, key: str, bulk_bytes: int | None = None, bulk_base: str | None = None) -> DataFrame:
-    """(key, json): whole datasets with nested sequences in the JSON model. Byte values longer than
-    `bulk_bytes` become BulkDataURI below `bulk_base` where both are given."""
-    e = elements
-    if "raw" not in e.columns:
-        e = e.withColumn("raw", F.lit(None).cast("binary"))
-    grouped = e.groupBy(key).agg(F.collect_list(F.struct("path", "tag", "vr", "strings", "raw")).alias("es"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([dataset_json(x, bulk_bytes, bulk_base) for x in b.column(1).to_pylist()], pa.string())], names=[key, "json"])
-
-    return grouped.mapInArrow(run, f"`{key}` {elements.schema[key].dataType.simpleString()}, json string")
-
-
 def elements_of_nodes(nodes: DataFrame, *, key: str) -> DataFrame:
     """Element rows (key, path, tag, vr, strings) of a node table, as the dataset operators take them."""
     items = nodes.where("kind = 'object'").select(key, F.col("node").alias("item_node"), F.col("sequence_path"), F.col("ordinal").alias("item_no"))
@@ -168,11 +153,3 @@ def color_by_pixel(frame: bytes, samples: int, bits: int) -> bytes:
     if len(frame) % (samples * wide):
         raise ValueError("the frame holds no whole number of pixels")
     return fr.interleave(frame, samples, wide)
-
-
-def expand_422(frame: bytes) -> bytes:
-    """YBR_FULL_422 (two luminances for one pair of colour differences, 8 bit) to full pixels."""
-    if len(frame) % 4:
-        raise ValueError("4:2:2 data comes in fours")
-    x = np.frombuffer(frame, np.uint8).reshape(-1, 4)
-    return np.stack([x[:, 0], x[:, 2], x[:, 3], x[:, 1], x[:, 2], x[:, 3]], 1).tobytes()

@@ -18,7 +18,7 @@ from voxelake.functions import tags as tg
 from voxelake.functions import values as vl
 from voxelake.operators import elements as el
 from voxelake.session import table
-from voxelake.sources.dicom import encode_datasets, encode_files, load_deferred, parse_diagnostics, parse_elements, parse_files
+from voxelake.sources.dicom import encode_datasets, encode_files, load_deferred, parse_diagnostics, parse_elements, parse_files, parse_rows
 
 EXPLICIT, IMPLICIT, BIG, DEFLATED = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
 ID, NAME, DATE, DOSE, ROWS = 0x00100020, 0x00100010, 0x00080020, 0x00180050, 0x00280010
@@ -56,8 +56,11 @@ def order_elements(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def wide(parsed: DataFrame) -> DataFrame:
-    return el.image_rows(parsed, key="o_orderkey", tags={ID: "patient_id", NAME: "patient_name", DATE: "study_date", DOSE: "dose", ROWS: "n_rows"})
+WIDE = {ID: "patient_id", NAME: "patient_name", DATE: "study_date", DOSE: "dose", ROWS: "n_rows"}
+
+
+def wide(data: DataFrame, uid: str | None) -> DataFrame:
+    return parse_rows(data, key="o_orderkey", columns=WIDE, transfer_syntax=uid)
 
 
 @query("""SELECT n_name, count(*) AS studies, round(avg(CAST(round(o_totalprice, 2) AS DOUBLE)), 4) AS mean_dose
@@ -65,7 +68,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 def patient_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders encoded as datasets, parsed back, four tags selected and aggregated by nation."""
     data = encode_datasets(order_elements(spark, d), key="o_orderkey", transfer_syntax=EXPLICIT)
-    w = wide(parse_elements(data, key="o_orderkey", transfer_syntax=EXPLICIT, tags=[ID, NAME, DATE, DOSE]))
+    w = parse_rows(data, key="o_orderkey", columns={ID: "patient_id", DOSE: "dose"}, transfer_syntax=EXPLICIT)
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     j = w.join(c, w.patient_id.cast("bigint") == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_name").agg(F.count("*").alias("studies"), F.round(F.avg(F.col("dose").cast("double")), 4).alias("mean_dose"))
@@ -78,7 +81,7 @@ CAST(CAST(round(o_totalprice, 2) AS DECIMAL(14,2)) AS VARCHAR) AS dose, CAST(o_o
 def _round_trip(uid: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         data = encode_datasets(order_elements(spark, d), key="o_orderkey", transfer_syntax=uid)
-        return wide(parse_elements(data, key="o_orderkey", transfer_syntax=uid))
+        return wide(data, uid)
 
     run.__doc__ = f"Every order encoded under {uid} and parsed back."
     return run
@@ -92,7 +95,7 @@ for _name, _uid in (("roundtrip_explicit", EXPLICIT), ("roundtrip_implicit", IMP
 def roundtrip_part10(spark: SparkSession, d: str) -> DataFrame:
     """Every order as a whole deflated file and back."""
     o = table(spark, d, "orders").select("o_orderkey", F.lit("1.2.840.10008.5.1.4.1.1.2").alias("sop_class"), F.concat(F.lit("2.25."), "o_orderkey").alias("sop_instance"))
-    return wide(parse_elements(encode_files(o, order_elements(spark, d), key="o_orderkey", transfer_syntax=DEFLATED), key="o_orderkey"))
+    return wide(encode_files(o, order_elements(spark, d), key="o_orderkey", transfer_syntax=DEFLATED), None)
 
 
 @query(f"SELECT o_orderkey, '{EXPLICIT}' AS transfer_syntax, false AS implicit_vr, true AS little_endian, CAST(NULL AS VARCHAR) AS read_error FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -133,7 +136,7 @@ def line_elements(spark: SparkSession, d: str) -> DataFrame:
 def nested_sequences(spark: SparkSession, d: str) -> DataFrame:
     """Lines as nested sequences, encoded and parsed back."""
     data = encode_datasets(line_elements(spark, d), key="l_orderkey", transfer_syntax=EXPLICIT)
-    p = parse_elements(data, key="l_orderkey", transfer_syntax=EXPLICIT).where("vr <> 'SQ'")
+    p = parse_elements(data, key="l_orderkey", transfer_syntax=EXPLICIT, fields=("depth", "vr", "strings")).where("vr <> 'SQ'")
     v = F.get("strings", F.lit(0)).cast("bigint")
     return p.groupBy("l_orderkey").agg(
         F.sum((F.col("depth") == 1).cast("bigint")).alias("items"), F.sum(F.when(F.col("depth") == 1, v)).alias("quantity"), F.sum(F.when(F.col("depth") == 2, v)).alias("codes"), F.max("depth").alias("deepest")
@@ -154,7 +157,7 @@ def deferred(spark: SparkSession, d: str) -> DataFrame:
     """Long values left out at first, then fetched by place and length."""
     e = as_elements(table(spark, d, "customer"), "c_custkey", {NAME: ("PN", F.col("c_name")), ID: ("LO", F.lit("1"))})
     data = encode_datasets(e, key="c_custkey")
-    late = load_deferred(parse_elements(data, key="c_custkey", transfer_syntax=EXPLICIT, defer_size=4), data, key="c_custkey")
+    late = load_deferred(parse_elements(data, key="c_custkey", transfer_syntax=EXPLICIT, defer_size=4), data.drop("write_error"), key="c_custkey")
     return late.select("c_custkey", F.rtrim(F.col("raw").cast("string")).alias("name"))
 
 
@@ -219,7 +222,18 @@ def number_strings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", vl.parse_ds(s).alias("ds"), vl.parse_is(s).alias("is"), vl.is_valid_ds(s).alias("ds_valid"), vl.is_valid_is(s).alias("is_valid"))
 
 
-@query()
+_DS = """WITH v AS (SELECT o_orderkey, o_totalprice / 3 * pow(10.0, CAST(o_orderkey % 40 - 20 AS DOUBLE)) AS v FROM orders),
+s AS (SELECT o_orderkey, v, [format('{:.' || n || 'e}', v) FOR n IN range(0, 17)] AS e FROM v),
+p AS (SELECT *, list_filter(e, lambda x: CAST(x AS DOUBLE) = v)[1] AS least, CAST(split_part(e[17], 'e', 2) AS INT) AS x FROM s),
+t AS (SELECT *, rtrim(rtrim(split_part(least, 'e', 1), '0'), '.') AS m, greatest(length(rtrim(replace(split_part(least, 'e', 1), '.', ''), '0')), 1) AS nd FROM p),
+u AS (SELECT *, CASE WHEN x BETWEEN -4 AND 5 THEN format('{:.' || greatest(nd - 1 - x, 1) || 'f}', v) ELSE m || 'e' || CASE WHEN x < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(x) AS VARCHAR), CAST(greatest(2, length(CAST(abs(x) AS VARCHAR))) AS INT), '0') END AS short FROM t)
+SELECT o_orderkey, CASE WHEN length(short) <= 16 THEN short ELSE list_filter([CASE WHEN x BETWEEN -4 AND 13 THEN
+  CASE WHEN n - 1 - x > 0 THEN regexp_replace(rtrim(format('{:.' || greatest(n - 1 - x, 1) || 'f}', v), '0'), '[.]$', '.0') ELSE format('{:.1f}', v) END
+  ELSE rtrim(rtrim(split_part(e[n], 'e', 1), '0'), '.') || 'e' || CASE WHEN x < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(x) AS VARCHAR), CAST(greatest(2, length(CAST(abs(x) AS VARCHAR))) AS INT), '0') END
+  FOR n IN range(16, 0, -1)], lambda y: length(y) <= 16)[1] END AS ds FROM u"""
+
+
+@query(_DS)
 def ds_format(spark: SparkSession, d: str) -> DataFrame:
     """Numbers as decimal strings of at most 16 characters."""
     v = F.col("o_totalprice") / 3 * F.pow(F.lit(10.0), (F.col("o_orderkey") % 40 - 20).cast("double"))
@@ -258,7 +272,14 @@ def uid_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return f.join(u, f.transfer_syntax == u.uid, "left").groupBy("transfer_syntax").agg(F.count("*").alias("n"), F.bool_or("implicit_vr").alias("implicit_vr"), F.bool_and("little_endian").alias("little_endian"))
 
 
-@query()
+_SETS = ", ".join(f"'{x}'" for x in vl.KNOWN_SETS)
+
+
+@query(f"""WITH m AS (SELECT file_id, charsets AS cs, [upper(trim(coalesce(x, ''))) FOR x IN charsets] AS u FROM files),
+n AS (SELECT file_id, cs, [regexp_replace(regexp_replace(x, '^ISO[ _-]?2022[ _-]?IR[ _-]?([0-9]+)$', 'ISO 2022 IR \\1'), '^ISO[ _-]?IR[ _-]?([0-9]+)$', 'ISO_IR \\1') FOR x IN u] AS v FROM m),
+k AS (SELECT file_id, cs, [CASE WHEN x IN ({_SETS}) THEN x ELSE 'ISO_IR 6' END FOR x IN v] AS w FROM n)
+SELECT file_id, CASE WHEN coalesce(len(cs), 0) < 1 THEN 'ISO_IR 6' WHEN w[1] IN ('ISO_IR 192', 'GBK', 'GB18030') THEN w[1]
+ELSE array_to_string(list_concat([w[1]], list_filter(w[2:], lambda x: x NOT IN ('ISO_IR 192', 'GBK', 'GB18030'))), '\\') END AS sets FROM k""".replace("\\\\", "\\"))
 def charset_lists(spark: SparkSession, d: str) -> DataFrame:
     """Character-set lists as read, and put right."""
     return table(spark, d, "files").select("file_id", F.concat_ws("\\", vl.normalise_charsets(F.col("charsets"))).alias("sets"))
@@ -347,7 +368,7 @@ def nearest_representation(spark: SparkSession, d: str) -> DataFrame:
     e = li.select("l_orderkey", F.explode(F.array(make(inner, 0x00283002, "US or SS", F.lit(0)), own)).alias("e")).where("e IS NOT NULL").select("l_orderkey", "e.*")
     roots = li.select("l_orderkey").distinct().select("l_orderkey", make(none, 0x00280103, "US", F.col("l_orderkey") % 2).alias("e")).select("l_orderkey", "e.*")
     r = el.resolve_ambiguous(e.unionByName(roots).withColumn("undefined_length", F.lit(False)), key="l_orderkey")
-    return r.where(F.col("tag") == 0x00283002).select("l_orderkey", F.col("path")[0]["item"].alias("item"), "resolved_vr")
+    return r.where(F.col("tag") == 0x00283002).select("l_orderkey", F.get("path", F.lit(0))["item"].alias("item"), "resolved_vr")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS active_charset FROM events""")
@@ -454,12 +475,25 @@ def json_export(spark: SparkSession, d: str) -> DataFrame:
     return el.to_json(e, key="c_custkey")
 
 
-@query("""SELECT rec_id, CAST('0x' || lpad(e.key, 8, '0') AS BIGINT) AS tag, e.value ->> '$.vr' AS vr, CASE WHEN json_type(e.value, '$.Value') = 'ARRAY' THEN json_array_length(e.value, '$.Value') END AS n
-FROM dicom_json, json_each(CAST(record_json AS JSON)) e""")
+_JSON_VALUES = r"""WITH e AS (SELECT rec_id, upper(lpad(k.key, 8, '0')) AS tag8, k.value AS e FROM dicom_json, json_each(CAST(record_json AS JSON)) k WHERE regexp_full_match(k.key, '[0-9A-Fa-f]{1,8}') AND json_type(k.value) = 'OBJECT'),
+v AS (SELECT *, CASE json_type(e, '$.Value') WHEN 'ARRAY' THEN json_extract(e, '$.Value') WHEN 'NULL' THEN NULL ELSE CASE WHEN json_extract(e, '$.Value') IS NOT NULL THEN json_array(json_extract(e, '$.Value')) END END AS vs FROM e),
+w AS (SELECT *, [json_extract(vs, '$[' || i || ']') FOR i IN range(0, CAST(coalesce(json_array_length(vs), 0) AS BIGINT))] AS entries FROM v),
+x AS (SELECT *, e ->> '$.vr' AS vr0, len(list_filter(entries, lambda y: json_type(y) = 'OBJECT' AND len(list_filter(json_keys(y), lambda k: regexp_full_match(k, '[0-9A-Fa-f]{1,8}'))) > 0)) > 0 AS nested FROM w)
+SELECT rec_id, CAST('0x' || tag8 AS BIGINT) AS tag, CASE WHEN vs IS NOT NULL AND (nested OR vr0 = 'SQ') THEN 'SQ' ELSE vr0 END AS vr,
+CASE WHEN vs IS NULL OR nested OR vr0 = 'SQ' OR len(entries) = 0 THEN NULL ELSE array_to_string([coalesce(CASE
+  WHEN json_type(y) = 'OBJECT' AND (json_exists(y, '$.Alphabetic') OR json_exists(y, '$.Ideographic') OR json_exists(y, '$.Phonetic'))
+    THEN rtrim(coalesce(y ->> '$.Alphabetic', '') || '=' || coalesce(y ->> '$.Ideographic', '') || '=' || coalesce(y ->> '$.Phonetic', ''), '=')
+  WHEN vr0 = 'AT' AND regexp_full_match(y ->> '$', '[0-9A-Fa-f]{1,8}') THEN upper(lpad(y ->> '$', 8, '0'))
+  ELSE y ->> '$' END, '') FOR y IN entries], chr(92)) END AS value, CASE WHEN json_type(e, '$.BulkDataURI') = 'VARCHAR' AND vs IS NULL AND json_extract(e, '$.InlineBinary') IS NULL THEN e ->> '$.BulkDataURI' END AS bulk FROM x"""
+
+
+@query(_JSON_VALUES)
 def json_import(spark: SparkSession, d: str) -> DataFrame:
-    """Top-level elements of DICOM JSON."""
-    e = el.from_json(table(spark, d, "dicom_json"), key="rec_id", json="record_json")
-    return e.select("rec_id", "tag", "vr", F.size("strings").cast("bigint").alias("n"))
+    """Top-level elements of DICOM JSON with their values."""
+    e = el.from_json(table(spark, d, "dicom_json"), key="rec_id", json="record_json").where("size(path) = 0 AND tag IS NOT NULL")
+    value = F.array_join(F.transform("strings", lambda x: F.coalesce(x, F.lit(""))), "\\")
+    held = F.when(F.size("strings") > 0, value)
+    return e.select("rec_id", "tag", "vr", held.alias("value"), F.col("bulk_uri").alias("bulk"))
 
 
 @query("""SELECT o_custkey AS k, CAST(count(*) FILTER (o_orderkey % 4 <> 0) AS BIGINT) > 0 AND bool_and(o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0) AND bool_and(o_orderkey % 4 <> 0) AS equal FROM orders GROUP BY o_custkey""")

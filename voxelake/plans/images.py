@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.codec import frames as fr
+from voxelake.operators import elements as el
 from voxelake.operators import images as im
 from voxelake.operators.shredding import shred
 from voxelake.plans.elements import line_elements
@@ -80,7 +81,7 @@ CASE WHEN t.tag = 524544 THEN CAST(l_partkey AS VARCHAR) ELSE CAST(CAST(l_quanti
 @query(_NESTED)
 def nested_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Nested datasets written as JSON, shredded and read back as elements."""
-    nodes = cut_lineage(shred(im.nested_json(line_elements(spark, d), key="l_orderkey"), key="l_orderkey", text="json"))
+    nodes = cut_lineage(shred(el.to_json(line_elements(spark, d), key="l_orderkey"), key="l_orderkey", text="json"))
     e = im.elements_of_nodes(nodes, key="l_orderkey").where("vr <> 'SQ'")
     path = F.array_join(F.transform("path", lambda p: F.concat(F.format_string("%08X", p["tag"]), F.lit("/"), p["item"].cast("string"))), "/")
     return e.select("l_orderkey", path.alias("path"), "tag", "vr", F.get("strings", F.lit(0)).alias("value"))
