@@ -31,8 +31,9 @@ def test_files_and_source(spark, tmp_path):
     assert got.where("depth = 1").count() == 5
 
 
-def test_pushdown_changes_no_rows(spark, tmp_path):
-    """A filter on tag gives the rows that filtering all elements gives, nested ones too."""
+def test_filters_change_no_other_scan(spark, tmp_path):
+    """A filter on tag gives the rows that filtering all elements gives, nested ones too, and leaves
+    other scans of the same DataFrame as they are."""
     spark.dataSource.register(DicomSource)
     for i in range(3):
         (tmp_path / f"{i}.dcm").write_bytes(some(i))
@@ -42,6 +43,11 @@ def test_pushdown_changes_no_rows(spark, tmp_path):
     for text, tags in ((f"tag = {kind}", {kind}), (f"tag in ({patient}, {sequence})", {patient, sequence}), (f"tag in ({name}, {kind}) and tag = {kind}", {kind})):
         want = sorted((tuple(r) for r in every if r.tag in tags), key=repr)
         assert rows(e.where(text)) == want and len(want) == 3 * len(tags)
+        assert e.where(text).union(e).count() == len(want) + len(every) and e.count() == len(every)
+    only = spark.read.format("dicom").option("only", "0040A040;PatientID").load(str(tmp_path))
+    assert rows(only) == sorted((tuple(r) for r in every if r.tag in (kind, patient)), key=repr)
+    listed = spark.read.format("dicom").option("tags", "PatientID").load(str(tmp_path))
+    assert {r.tag for r in listed.where("NOT is_meta").collect()} == {patient}
 
 
 def test_modes_and_bad_data(spark):

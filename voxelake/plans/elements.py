@@ -23,20 +23,25 @@ from voxelake.sources.dicom import encode_datasets, encode_files, load_deferred,
 EXPLICIT, IMPLICIT, BIG, DEFLATED = "1.2.840.10008.1.2.1", "1.2.840.10008.1.2", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
 ID, NAME, DATE, DOSE, ROWS = 0x00100020, 0x00100010, 0x00080020, 0x00180050, 0x00280010
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
+def query_table() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """(queries, SQL, decorator that registers a query under its function's name with its SQL)."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracles: dict[str, str] = {}
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+        return add
 
-    return add
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = query_table()
 
 
 def as_elements(df: DataFrame, key: str, values: dict[int, tuple[str, object]]) -> DataFrame:

@@ -8,21 +8,10 @@ from voxelake.codec import frames as fr
 from voxelake.operators import elements as el
 from voxelake.operators import images as im
 from voxelake.operators.shredding import shred
-from voxelake.plans.elements import line_elements
+from voxelake.plans.elements import line_elements, query_table
 from voxelake.session import cut_lineage, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = query_table()
 
 
 @query("""WITH c AS (SELECT c_custkey, c_name || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || CASE WHEN length(c_name) % 2 = 1 THEN ' ' ELSE '' END AS s FROM customer)

@@ -13,11 +13,11 @@ from pyarrow import compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from voxelake.codec.dataset import Reader, encode_dataset, encode_file, parse_dataset, parse_file, swapped, to_raw, values_of, write_encoding
 from voxelake.codec.file_bytes import FileBytes
-from voxelake.dictionary import SEED, TRANSFER_SYNTAXES, Dictionary
+from voxelake.dictionary import SEED, TRANSFER_SYNTAXES, Dictionary, parse_tag
 
 PATH_TYPE = pa.list_(pa.struct([("tag", pa.int64()), ("item", pa.int32())]))
 FIELDS = (
@@ -378,26 +378,24 @@ def _system(path: str) -> tuple[pafs.FileSystem, str]:
 
 class DicomReader(DataSourceReader):
     """Files of any file system that Arrow knows, in partitions of about BYTES. Values that nobody asks
-    for are not read: those behind the pixels with stopBeforePixels, those of other tags under a filter
-    on tag (nested elements are found all the same), and long ones with deferSize."""
+    for are not read: those behind the pixels with stopBeforePixels, those of tags other than `only` or
+    `tags`, and long ones with deferSize.
+
+    Filters are not pushed down: Spark 4.1 keeps a reader for every scan of one DataFrame, so a filter
+    of one scan would take rows from the others.
+    """
 
     BYTES, OPENING = 128 << 20, 1 << 20
 
     def __init__(self, options: dict):
-        self.root, self.wanted = options["path"], None
+        listed = lambda n: frozenset(parse_tag(t) for t in re.split("[;|]", options[n])) if options.get(n) else None
+        self.root, self.wanted, self.tags = options["path"], listed("only"), listed("tags")
         self.stop = str(options.get("stopbeforepixels", "false")).lower() == "true"
         self.defer = int(options.get("defersize", 0))
         self.mode = str(options.get("mode", MODES[0])).upper()
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
 
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("tag",):
-                listed = frozenset({f.value} if isinstance(f, EqualTo) else f.value)
-                self.wanted = listed if self.wanted is None else self.wanted & listed
-            yield f  # Spark checks again
-
     def partitions(self):
         system, root = _system(self.root)
         info = system.get_file_info(root)
@@ -419,7 +417,7 @@ class DicomReader(DataSourceReader):
             out = Columns(tuple(TYPES), "file")
             with system.open_input_file(name) as f:
                 try:
-                    _, r = parse_file(FileBytes(f, size), stop_before_pixels=self.stop, defer_size=self.defer, values=self.wanted)
+                    _, r = parse_file(FileBytes(f, size), stop_before_pixels=self.stop, defer_size=self.defer, values=self.wanted, tags=self.tags)
                 except ValueError as x:
                     if self.mode == "FAILFAST":
                         raise
@@ -475,8 +473,10 @@ class DicomWriter(DataSourceWriter):
 class DicomSource(DataSource):
     """spark.dataSource.register(DicomSource), then format("dicom") reads elements and writes files.
 
-    Options mode, stopBeforePixels, deferSize as for `parse_elements`; under PERMISSIVE a file that is
-    none gives one row with the reason as value_error. Writing: option base."""
+    Options mode, stopBeforePixels, deferSize and tags as for `parse_elements`; under PERMISSIVE a file
+    that is none gives one row with the reason as value_error. only: the rows of these tags at any depth,
+    the values of others skipped. Tags are hexadecimal or keywords, with semicolons between. Writing:
+    option base."""
 
     @classmethod
     def name(cls) -> str:
