@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from voxelake.codec import charsets
 from voxelake.dictionary import SEED, TRANSFER_SYNTAXES, Dictionary
+from voxelake.errors import EncodingError, InvalidDicomError, MetaError, SyntaxUnknownError
 
 ITEM, ITEM_END, SEQ_END, PIXEL_DATA, CHARSET = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD, 0x7FE00010, 0x00080005
 UNDEFINED = 0xFFFFFFFF
@@ -222,7 +223,7 @@ def _read(data: bytes, at: int, implicit: bool, little: bool, deflated: bool, op
 def parse_dataset(data: bytes, uid: str, **options) -> Reader:
     """A bare dataset of a known transfer syntax."""
     if uid not in TRANSFER_SYNTAXES:
-        raise ValueError(f"unknown transfer syntax {uid}")
+        raise SyntaxUnknownError(uid)
     implicit, little, deflated = syntax(uid)
     return _read(data, 0, implicit, little, deflated, options)
 
@@ -231,7 +232,7 @@ def parse_file(data: bytes, force: bool = False, **options) -> tuple[dict, Reade
     """(facts of the file, reader with meta and dataset elements) of a Part 10 byte string."""
     part10 = len(data) >= 132 and data[128:132] == b"DICM"
     if not part10 and not force:
-        raise ValueError("no DICM prefix")
+        raise InvalidDicomError("no DICM prefix")
     at = 132 if part10 else 0
     meta = Reader(data, False, True)
     if data[at : at + 2] == b"\x02\x00":
@@ -335,7 +336,7 @@ def encode_dataset(elements: list[tuple], uid: str) -> bytes:
     ones given as elements of VR SQ. Retired group lengths are dropped.
     """
     if uid not in TRANSFER_SYNTAXES:
-        raise ValueError(f"unknown transfer syntax {uid}")
+        raise SyntaxUnknownError(uid)
     implicit, little, deflated = syntax(uid)
     root: dict = {}
     for path, tag, vr, raw, undefined in elements:
@@ -380,12 +381,12 @@ def encode_file(elements: list[tuple], uid: str, sop_class: str | None, sop_inst
     given = {t: (vr, raw) for p, t, vr, raw, *_ in elements if not p and t >> 16 == 2}
     elements = [e for e in elements if e[0] or e[1] >> 16 != 2] if meta_among else elements
     if any(not p and t >> 16 in (0, 2) for p, t, *_ in elements):
-        raise ValueError("groups 0000 and 0002 don't belong to the dataset")
+        raise MetaError("groups 0000 and 0002 don't belong to the dataset")
     meta = {0x00020001: ("OB", b"\0\1"), 0x00020002: ("UI", (sop_class or "").encode()), 0x00020003: ("UI", (sop_instance or "").encode()), 0x00020010: ("UI", uid.encode()),
             0x00020012: ("UI", IMPLEMENTATION_UID.encode()), 0x00020013: ("SH", IMPLEMENTATION_NAME.encode())}
     meta = {t: v for t, v in {**meta, **{t: v for t, v in given.items() if t not in (0x00020000, 0x00020010)}}.items() if v[1]}
     if missing := missing_meta(set(meta)):
-        raise ValueError("the file meta information lacks " + ", ".join(f"({t >> 16:04X},{t & 0xFFFF:04X})" for t in missing))
+        raise MetaError("the file meta information lacks " + ", ".join(f"({t >> 16:04X},{t & 0xFFFF:04X})" for t in missing))
     body = b"".join(element_bytes(t, vr, raw, False, True) for t, (vr, raw) in sorted(meta.items()))
     return (preamble or bytes(128)) + b"DICM" + element_bytes(0x00020000, "UL", struct.pack("<I", len(body)), False, True) + body + encode_dataset(elements, uid)
 
@@ -397,7 +398,7 @@ REQUIRED_META = (0x00020001, 0x00020002, 0x00020003, 0x00020010, 0x00020012)
 def missing_meta(tags: set[int]) -> list[int]:
     """Required elements of group 2 that are not among `tags`; groups other than 2 are an error."""
     if any(t >> 16 != 2 for t in tags):
-        raise ValueError("only group 0002 belongs to the file meta information")
+        raise MetaError("only group 0002 belongs to the file meta information")
     return [t for t in REQUIRED_META if t not in tags]
 
 
@@ -408,12 +409,12 @@ def write_encoding(meta_uid: str | None, implicit: bool | None = None, little: b
     if meta_uid in TRANSFER_SYNTAXES:
         want = syntax(meta_uid)[:2]
         if (implicit, little) != (None, None) and (implicit if implicit is not None else want[0], little if little is not None else want[1]) != want:
-            raise ValueError("the options contradict the transfer syntax")
+            raise EncodingError("the options contradict the transfer syntax")
         return want
     if meta_uid is not None and meta_uid.startswith("1.2.840.10008."):
-        raise ValueError(f"{meta_uid} is no transfer syntax")
+        raise EncodingError(f"{meta_uid} is no transfer syntax")
     if implicit is None or little is None:
-        raise ValueError("without a known transfer syntax both options are needed")
+        raise EncodingError("without a known transfer syntax both options are needed")
     if implicit and not little:
-        raise ValueError("implicit big endian does not exist")
+        raise EncodingError("implicit big endian does not exist")
     return implicit, little

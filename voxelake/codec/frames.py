@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from voxelake.errors import SyntaxUnknownError
+
 _ITEM, _END = b"\xfe\xff\x00\xe0", b"\xfe\xff\xdd\xe0"
 
 
@@ -210,14 +212,14 @@ def registered() -> dict[str, tuple[Callable, Callable]]:
 def decode_frame(uid: str, data: bytes, rows: int, columns: int, samples: int, bits: int, codecs: dict | None = None) -> bytes:
     known = CODECS if codecs is None else codecs
     if uid not in known:
-        raise ValueError(f"unsupported transfer syntax {uid}")
+        raise SyntaxUnknownError(uid, "unsupported transfer syntax")
     return known[uid][0](data, rows, columns, samples, bits)
 
 
 def encode_frame(uid: str, data: bytes, rows: int, columns: int, samples: int, bits: int, codecs: dict | None = None) -> bytes:
     known = CODECS if codecs is None else codecs
     if uid not in known:
-        raise ValueError(f"unsupported transfer syntax {uid}")
+        raise SyntaxUnknownError(uid, "unsupported transfer syntax")
     return known[uid][1](data, rows, columns, samples, bits)
 
 

@@ -101,7 +101,7 @@ def set_values(base: DataFrame, values: DataFrame, *, key: str, tag: int | str,
     else:
         texts, reason = value_texts(F.col("__v"), kind, known)
         if mode == "FAILFAST":
-            texts = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(texts)
+            texts, reason = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(texts), nothing
         new = rows.select(key, "path", "tag", "vr", texts.alias("strings"), F.lit(None).cast("binary").alias("raw"), reason.alias("value_error"))
     new = new.select(*base.columns)
     on = [key, "path", "tag"]

@@ -246,6 +246,12 @@ def from_json(records: DataFrame, *, key: str, json: str, dictionary: Dictionary
     return records.select(key, json).mapInArrow(run, ", ".join([f"`{key}` {records.schema[key].dataType.simpleString()}", *(f"{n} {k}" for n, k in zip(names, kinds, strict=True))]))
 
 
+def ends_image(fragment: Column) -> Column:
+    """Whether a fragment's last ten bytes hold the end of an image (FF D9), which padding may follow."""
+    tail = F.substring(fragment, -10, 10) if isinstance(fragment, str) else F.substring(fragment, F.greatest(F.length(fragment) - 9, F.lit(1)), F.lit(10))
+    return F.coalesce(F.exists(F.sequence(F.lit(1), F.lit(9)), lambda i: F.hex(F.substring(tail, i, F.lit(2))) == "FFD9"), F.lit(False))
+
+
 def fragment_frames(fragments: DataFrame, *, key: str, order: str, marks_end: str) -> DataFrame:
     """`frame_idx` of fragments: a new frame begins after each one that ends an image."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,8 @@ from voxelake.codec import frames as fr
 from voxelake.codec import pixels as px
 from voxelake.codec.dataset import parse_file
 from voxelake.dictionary import NATIVE, TRANSFER_SYNTAXES
+from voxelake.errors import SyntaxUnknownError
+from voxelake.log import logger
 
 DESCRIPTION = (
     ("transfer_syntax", pa.string(), "string"), ("rows", pa.int32(), "int"), ("columns", pa.int32(), "int"), ("samples", pa.int32(), "int"), ("bits_allocated", pa.int32(), "int"),
@@ -164,10 +166,11 @@ def compress_images(files: DataFrame, *, key: str, transfer_syntax: str, data: s
     be decoded or encoded has the reason in write_error. One narrow pass.
     """
     if transfer_syntax not in TRANSFER_SYNTAXES:
-        raise ValueError(f"unknown transfer syntax {transfer_syntax}")
+        raise SyntaxUnknownError(transfer_syntax)
     if extended and per_frame != 1:
         raise ValueError("an extended offset table needs one fragment a frame")
     codecs = fr.registered()
+    logger("pixels").debug("compress transfer_syntax=%s extended=%s", transfer_syntax, extended)
     wide = lambda v: np.array(v, "<u8").tobytes()
 
     def one(blob: bytes) -> tuple:

@@ -114,6 +114,22 @@ def is_bigint(text: pa.Array) -> pa.Array:
     return pc.and_(digits, fits)
 
 
+#: Places of the hexadecimal digits in (GGGG,EEEE), and the digits' values by their code.
+_DIGITS = np.array([1, 2, 3, 4, 6, 7, 8, 9])
+_VALUES = np.array([int(chr(c), 16) if chr(c) in "0123456789abcdefABCDEF" else 0 for c in range(256)], np.int64)
+
+
+def tag_numbers(text: pa.Array) -> pa.Array:
+    """Tags of (GGGG,EEEE) texts, null for null."""
+    there = np.asarray(pc.is_valid(text).to_numpy(zero_copy_only=False), bool) if len(text) else np.zeros(0, bool)
+    out = np.zeros(len(text), np.int64)
+    if there.any():
+        packed = pc.take(text, pa.array(np.flatnonzero(there)))  # contiguous, 11 bytes each
+        codes = np.frombuffer(packed.buffers()[2], np.uint8)[: 11 * len(packed)]
+        out[there] = _VALUES[codes.reshape(-1, 11)[:, _DIGITS]] @ (16 ** np.arange(7, -1, -1, dtype=np.int64))
+    return pa.array(out, mask=~there)
+
+
 def parse_lines(lines: DataFrame, *, key: str = "line_id", text: str = "raw_line") -> DataFrame:
     """Each line as `key`, `reasons` and, where that array is empty, its typed columns.
 
@@ -160,8 +176,7 @@ def check_batch(keys: pa.Array, lines: pa.Array, key: str) -> pa.RecordBatch:
     none = lambda t: pa.scalar(None, t)
     pick = lambda a: pc.if_else(valid, a, none(pa.string()))
     filled = lambda a: pc.if_else(pc.equal(pick(a), ""), none(pa.string()), pick(a))
-    tags = pick(tag).to_pylist() if n else []
-    tags = pa.array([None if t is None else int(t[1:5] + t[6:10], 16) for t in tags], pa.int64())
+    tags = tag_numbers(pick(tag))
     number = lambda a: pick(a).cast(pa.int64())
     arrays = [keys, reasons, pick(kind), tags, filled(vr), number(offset), filled(path), number(need), number(have), filled(note)]
     return pa.RecordBatch.from_arrays(arrays, names=[key, "reasons", "kind", "tag", "vr", "offset", "path", "need", "have", "note"])

@@ -59,7 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="voxelake-checkpoint-", dir=os.environ.get("TMPDIR"))
+        folder = tempfile.mkdtemp(prefix="voxelake-checkpoint-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
     sc.setCheckpointDir(named)
     return named
 

@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from voxelake.codec.dataset import Reader, encode_dataset, encode_file, parse_dataset, parse_file, swapped, to_raw, values_of, write_encoding
 from voxelake.codec.file_bytes import FileBytes
 from voxelake.dictionary import SEED, TRANSFER_SYNTAXES, Dictionary, parse_tag
+from voxelake.errors import SyntaxUnknownError
+from voxelake.log import logger
 
 PATH_TYPE = pa.list_(pa.struct([("tag", pa.int64()), ("item", pa.int32())]))
 FIELDS = (
@@ -269,6 +271,43 @@ def load_deferred(elements: DataFrame, contents: DataFrame, *, key: str, data: s
     return late.join(contents.select(key, data), key).withColumn("raw", F.expr(f"substring(`{data}`, cast(value_offset + 1 as int), cast(value_length as int))")).drop(data)
 
 
+def fetch_deferred(elements: DataFrame, *, file: str = "file") -> DataFrame:
+    """Deferred elements with their bytes, read from the files they stand in by (offset, length).
+
+    Nothing is joined: a task opens each file once for the elements of it that come one after another
+    and reads their bytes alone. Not for deflated files, whose offsets count inflated bytes. A file
+    that is gone or has become shorter leaves a null value with the reason as value_error.
+    """
+    late = elements.where("deferred")
+    rest = [c for c in late.columns if c not in ("raw", "value_error")]
+    names = [*rest, "raw", "value_error"]
+    schema = ", ".join(f"`{c}` {late.schema[c].dataType.simpleString() if c in rest else SQL_TYPES[c]}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws, errors, name, handle = [], [], None, None
+            for path, at, n in zip(*(b.column(rest.index(c)).to_pylist() for c in (file, "value_offset", "value_length")), strict=True):
+                try:
+                    if path != name or handle is None:
+                        handle = None if handle is None else handle.close()
+                        system, where = _system(path)
+                        name, handle = path, system.open_input_file(where)
+                    handle.seek(at)
+                    got = handle.read(n)
+                    if len(got) < n:
+                        raise OSError("the file has become shorter")
+                    raws.append(got)
+                    errors.append(None)
+                except (OSError, ValueError) as x:
+                    raws.append(None)
+                    errors.append(str(x))
+            if handle is not None:
+                handle.close()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raws, pa.binary()), pa.array(errors, pa.string())], names=names)
+
+    return late.select(*rest).mapInArrow(run, schema)
+
+
 def grouped_elements(elements: DataFrame, key: str) -> DataFrame:
     """(key, es): the rows of each key as one array, with every column that the encoder reads."""
     e = elements
@@ -332,7 +371,7 @@ def encode_datasets(elements: DataFrame, *, key: str, transfer_syntax: str = "1.
     under FAILFAST. One shuffle by key; a dataset must fit in a task.
     """
     if transfer_syntax not in TRANSFER_SYNTAXES:
-        raise ValueError(f"unknown transfer syntax {transfer_syntax}")
+        raise SyntaxUnknownError(transfer_syntax)
     _, little = write_encoding(transfer_syntax)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +390,7 @@ def encode_files(datasets: DataFrame, elements: DataFrame, *, key: str, transfer
     what is made here. Otherwise as `encode_datasets`, in the same single pass.
     """
     if transfer_syntax not in TRANSFER_SYNTAXES:
-        raise ValueError(f"unknown transfer syntax {transfer_syntax}")
+        raise SyntaxUnknownError(transfer_syntax)
     _, little = write_encoding(transfer_syntax)
     both = datasets.select(key, "sop_class", "sop_instance").join(grouped_elements(elements, key), key)
 
@@ -409,6 +448,7 @@ class DicomReader(DataSourceReader):
                 room = self.BYTES
             parts[-1].append((x.path, x.size))
             room -= need
+        logger("reader").debug("files=%d partitions=%d", len(found), len(parts))
         return [DicomPartition(p) for p in parts]
 
     def read(self, partition):
