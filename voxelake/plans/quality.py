@@ -39,9 +39,10 @@ def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """Items of every concept name code sequence with their code, scheme and meaning."""
+    """Items of every concept name code sequence that have any of code, scheme and meaning."""
     nodes = cut_lineage(shred(table(spark, d, "dicom_json")))
-    return entity_table(nodes, "0040A043", {"00080100": "code_value", "00080102": "coding_scheme", "00080104": "code_meaning"})
+    e = entity_table(nodes, "0040A043", {"00080100": "code_value", "00080102": "coding_scheme", "00080104": "code_meaning"})
+    return e.select("rec_id", "sequence_path", "item_no", "code_value", "coding_scheme", "code_meaning").where("coalesce(code_value, coding_scheme, code_meaning) IS NOT NULL")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +92,30 @@ WITH cut AS (
 )
 """
 
+_HELD = """
+WITH RECURSIVE held AS (
+  SELECT rec_id, CAST(NULL AS VARCHAR) AS sequence_path, CAST(NULL AS INTEGER) AS item_no, CAST(record_json AS JSON) AS obj FROM dicom_json
+  UNION ALL
+  SELECT h.rec_id,
+         CASE WHEN h.sequence_path IS NULL THEN '' ELSE h.sequence_path || '/' || h.item_no || '/' END || upper(lpad(e.key, 8, '0')),
+         CAST(i.n AS INTEGER), i.entry
+  FROM held h, json_each(h.obj) e,
+       LATERAL (SELECT CASE json_type(e.value, '$.Value') WHEN 'ARRAY' THEN json_extract(e.value, '$.Value')
+                            WHEN 'OBJECT' THEN json_array(json_extract(e.value, '$.Value')) END AS entries) v,
+       LATERAL (SELECT u.n, json_extract(v.entries, '$[' || u.n || ']') AS entry FROM unnest(range(0, CAST(json_array_length(v.entries) AS BIGINT))) AS u(n)) i
+  WHERE regexp_full_match(e.key, '[0-9A-Fa-f]{1,8}') AND json_type(e.value) = 'OBJECT' AND v.entries IS NOT NULL
+    AND json_type(i.entry) = 'OBJECT' AND len(list_filter(json_keys(i.entry), lambda k: regexp_full_match(k, '[0-9A-Fa-f]{1,8}'))) > 0
+)
+"""
+
+
+def _values(tag: str) -> str:
+    """SQL of an item's values of a tag, joined by backslashes; null where there is none."""
+    return f"""(SELECT nullif(array_to_string(list_filter([CASE WHEN json_type(x) NOT IN ('OBJECT', 'NULL') THEN x ->> '$' END FOR x IN vs], lambda y: y IS NOT NULL), chr(92)), '')
+  FROM (SELECT CASE json_type(e.value, '$.Value') WHEN 'ARRAY' THEN CAST(json_extract(e.value, '$.Value') AS JSON[]) WHEN 'NULL' THEN [] ELSE [json_extract(e.value, '$.Value')] END AS vs
+        FROM json_each(held.obj) e WHERE upper(lpad(e.key, 8, '0')) = '{tag}' AND regexp_full_match(e.key, '[0-9A-Fa-f]{{1,8}}') AND json_type(e.value) = 'OBJECT' LIMIT 1))"""
+
+
 _MOMENTS = r"""
 WITH pad AS (SELECT ' ' || chr(9) || chr(10) || chr(13) || chr(0) AS ws), raw AS (
   SELECT moment_id, exposure_uid, station_id, nullif(trim(tz_offset, ws), '') AS off_column,
@@ -121,23 +146,15 @@ ORACLES = {
     + """
 SELECT a.moment_id AS moment_id_a, b.moment_id AS moment_id_b FROM instants a JOIN instants b ON a.exposure_uid = b.exposure_uid AND a.utc = b.utc AND a.moment_id < b.moment_id""",
     "p1_utc": _MOMENTS + "SELECT moment_id, utc AS utc_micros FROM instants",
-    "p3_found": """
-WITH RECURSIVE held AS (
-  SELECT rec_id, CAST(NULL AS VARCHAR) AS sequence_path, CAST(NULL AS INTEGER) AS item_no, CAST(record_json AS JSON) AS obj FROM dicom_json
-  UNION ALL
-  SELECT h.rec_id,
-         CASE WHEN h.sequence_path IS NULL THEN '' ELSE h.sequence_path || '/' || h.item_no || '/' END || upper(lpad(e.key, 8, '0')),
-         CAST(i.n AS INTEGER), i.entry
-  FROM held h, json_each(h.obj) e,
-       LATERAL (SELECT CASE json_type(e.value, '$.Value') WHEN 'ARRAY' THEN json_extract(e.value, '$.Value')
-                            WHEN 'OBJECT' THEN json_array(json_extract(e.value, '$.Value')) END AS entries) v,
-       LATERAL (SELECT u.n, json_extract(v.entries, '$[' || u.n || ']') AS entry FROM unnest(range(0, CAST(json_array_length(v.entries) AS BIGINT))) AS u(n)) i
-  WHERE regexp_full_match(e.key, '[0-9A-Fa-f]{1,8}') AND json_type(e.value) = 'OBJECT' AND v.entries IS NOT NULL
-    AND json_type(i.entry) = 'OBJECT' AND len(list_filter(json_keys(i.entry), lambda k: regexp_full_match(k, '[0-9A-Fa-f]{1,8}'))) > 0
-)
+    "p3_found": _HELD
+    + """
 SELECT rec_id, sequence_path, item_no, upper(lpad(k.key, 8, '0')) AS tag
 FROM held, json_each(obj) k
 WHERE sequence_path IS NOT NULL AND regexp_full_match(k.key, '[0-9A-Fa-f]{1,8}')""",
+    "p3_concepts": _HELD
+    + f"""
+SELECT * FROM (SELECT rec_id, sequence_path, item_no, {_values("00080100")} AS code_value, {_values("00080102")} AS coding_scheme, {_values("00080104")} AS code_meaning
+FROM held WHERE sequence_path = '0040A043' OR ends_with(sequence_path, '/0040A043')) WHERE coalesce(code_value, coding_scheme, code_meaning) IS NOT NULL""",
     "p4_found": _LINES
     + """
 SELECT line_id, unnest(list_filter([CASE WHEN quoting THEN 'quoting' END, CASE WHEN columns THEN 'columns' END,

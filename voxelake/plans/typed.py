@@ -17,7 +17,7 @@ from voxelake.operators import editing as ed
 from voxelake.operators import elements as el
 from voxelake.plans.elements import EXPLICIT, IMPLICIT, as_elements, query_table
 from voxelake.session import checkpoint_dir, table
-from voxelake.sources.dicom import DicomSource, encode_datasets, encode_files, parse_elements, parse_rows
+from voxelake.sources.dicom import DicomSource, encode_datasets, encode_files, parse_diagnostics, parse_elements, parse_rows
 
 QUERIES, ORACLES, query = query_table()
 _NO_PATH = "array<struct<tag:bigint,item:int>>"
@@ -260,3 +260,30 @@ def sequence_items(spark: SparkSession, d: str) -> DataFrame:
     n = ac.with_items(e, key="l_orderkey").where("tag = 805962001").select("l_orderkey", "items")
     inside = ac.items_of(e, 0x0040A043).groupBy("l_orderkey").agg(F.count("*").alias("inside"))
     return n.join(inside, "l_orderkey")
+
+
+@query("""SELECT c_custkey, t.tag, CASE WHEN t.tag = 2621456 AND c_custkey % 2 = 1 THEN NULL ELSE t.v END AS value, t.tag = 2621456 AND c_custkey % 2 = 1 AS refused FROM customer, (VALUES (CAST(2621456 AS BIGINT), '258'), (1048608, 'ok')) t(tag, v)""")
+def value_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Values whose bytes don't fit their representation keep them and say why."""
+    c = table(spark, d, "customer")
+    e = F.array(
+        F.struct(F.lit(0x00280010).cast("bigint").alias("tag"), F.lit("US").alias("vr"), F.when(F.col("c_custkey") % 2 == 1, F.unhex(F.lit("020103"))).otherwise(F.unhex(F.lit("0201"))).alias("raw")),
+        F.struct(F.lit(0x00100020).cast("bigint").alias("tag"), F.lit("LO").alias("vr"), F.lit("ok").cast("binary").alias("raw")),
+    )
+    # three bytes are padded on writing, so one byte is cut from the declared length as well
+    data = encode_datasets(c.select("c_custkey", F.explode(e).alias("e")).select("c_custkey", "e.*"), key="c_custkey")
+    odd = F.expr("concat(substring(content, 1, length(content) - 6), x'0300', substring(content, length(content) - 3, 3))")
+    data = data.withColumn("content", F.when(F.col("c_custkey") % 2 == 1, odd).otherwise(F.col("content")))
+    p = parse_elements(data, key="c_custkey", transfer_syntax=EXPLICIT, fields=("tag", "strings", "value_error"))
+    return p.select("c_custkey", "tag", F.array_join("strings", "\\").alias("value"), F.col("value_error").isNotNull().alias("refused"))
+
+
+@query("""SELECT c_custkey, t.kind, t.path, CAST(t.need AS BIGINT) AS need, CAST(t.have AS BIGINT) AS have FROM customer, (VALUES ('truncated_value', '', 18, 15), ('truncated_item', '', 10, 7)) t(kind, path, need, have)
+UNION ALL SELECT c_custkey, 'truncated_header', '300A0111/0', 8, 7 FROM customer""")
+def diagnostic_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Damage inside a sequence is told at every level that it goes through, with the way there."""
+    e = F.struct(_path((0x300A0111, F.lit(0))).alias("path"), F.lit(0x0040A30A).cast("bigint").alias("tag"), F.lit("DS").alias("vr"), F.array(F.lit("7")).alias("strings"))
+    data = encode_datasets(table(spark, d, "customer").select("c_custkey", e.alias("e")).select("c_custkey", "e.*"), key="c_custkey")
+    cut = data.withColumn("content", F.expr("substring(content, 1, length(content) - 3)"))
+    path = F.array_join(F.transform("path", lambda p: F.concat(F.format_string("%08X", p["tag"]), F.lit("/"), p["item"].cast("string"))), "/")
+    return parse_diagnostics(cut, key="c_custkey", transfer_syntax=EXPLICIT).select("c_custkey", "kind", path.alias("path"), "need", "have")
