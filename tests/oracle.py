@@ -63,7 +63,6 @@ def main(args: list[str]) -> int:
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'") if False else None
     views(con, d)
     failed = 0
     sqls = entry.oracle_sql()

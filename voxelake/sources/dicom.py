@@ -309,21 +309,19 @@ def fetch_deferred(elements: DataFrame, *, file: str = "file") -> DataFrame:
 
 
 def grouped_elements(elements: DataFrame, key: str) -> DataFrame:
-    """(key, es): the rows of each key as one array, with every column that the encoder reads."""
-    e = elements
-    for name, kind in (("path", SQL_TYPES["path"]), ("raw", "binary"), ("strings", "array<string>"), ("charsets", "array<string>"), ("undefined_length", "boolean")):
-        if name not in e.columns:
-            e = e.withColumn(name, F.lit(None).cast(kind))
-    return e.groupBy(key).agg(F.collect_list(F.struct("path", "tag", "vr", "raw", "strings", "charsets", "undefined_length")).alias("es"))
+    """(key, es): the rows of each key as one array, with those of the encoder's columns that are there."""
+    there = [c for c in ("path", "tag", "vr", "raw", "strings", "charsets", "undefined_length") if c in elements.columns]
+    return elements.groupBy(key).agg(F.collect_list(F.struct(*there)).alias("es"))
 
 
 def encoder_rows(es: pa.Array, little: bool, foreign: bool = False) -> Iterator[list[tuple] | Exception]:
     """Per key the (path, tag, vr, raw, undefined) tuples that the encoder takes, or what its values
     can't be encoded for. Columns are read one by one instead of a dictionary per element."""
     flat, lengths = es.flatten(), [len(x) if x.is_valid else 0 for x in es] if es.null_count else np.diff(es.offsets.to_numpy()).tolist()
-    tag, vr, raw, strings, charsets, undefined = (flat.field(n).to_pylist() for n in ("tag", "vr", "raw", "strings", "charsets", "undefined_length"))
-    paths = flat.field("path")
-    if len(paths.flatten()):
+    names = {f.name for f in flat.type}
+    tag, vr, raw, strings, charsets, undefined = (flat.field(n).to_pylist() if n in names else [None] * len(flat) for n in ("tag", "vr", "raw", "strings", "charsets", "undefined_length"))
+    paths = flat.field("path") if "path" in names else None
+    if paths is not None and len(paths.flatten()):
         steps, sizes = paths.flatten(), [0 if n is None else n for n in pc.list_value_length(paths).to_pylist()]
         pairs, path, at = list(zip(steps.field("tag").to_pylist(), steps.field("item").to_pylist(), strict=True)), [], 0
         for n in sizes:
