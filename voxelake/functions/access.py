@@ -111,7 +111,7 @@ def with_items(elements: DataFrame, *, key: str) -> DataFrame:
         .groupBy(key, "path", "tag")
         .agg(F.max("__n").alias("__n"))
     )
-    return elements.join(counted, [key, "path", "tag"], "left").withColumn("items", F.when(F.col("vr") == "SQ", F.coalesce("__n", F.lit(0)))).drop("__n")
+    return elements.join(counted.hint("merge"), [key, "path", "tag"], "left").withColumn("items", F.when(F.col("vr") == "SQ", F.coalesce("__n", F.lit(0)))).drop("__n")
 
 
 def items_of(elements: DataFrame, sequence: int) -> DataFrame:

@@ -110,7 +110,7 @@ def set_values(base: DataFrame, values: DataFrame, *, key: str, tag: int | str,
     if kind in ("bytes", "sequence") or mode == "FAILFAST":
         return done
     told = bad.select(*on, F.col("value_error").alias("__e"))
-    return done.join(told, on, "left").withColumn("value_error", F.coalesce("__e", "value_error")).select(*base.columns)
+    return done.join(told.hint("merge"), on, "left").withColumn("value_error", F.coalesce("__e", "value_error")).select(*base.columns)
 
 
 def with_encoding(files: DataFrame, *, implicit_vr: Column, little_endian: Column, charsets: Column) -> DataFrame:

@@ -87,7 +87,7 @@ def private_block(elements: DataFrame, *, key: str) -> DataFrame:
     return (
         inside.withColumn("__g", group_of(F.col("tag")))
         .withColumn("__b", F.shiftright(element_of(F.col("tag")), 8))
-        .join(creators, [key, "__scope", "__g", "__b"], "left")
+        .join(creators.hint("merge"), [key, "__scope", "__g", "__b"], "left")
         .drop("__scope", "__g", "__b")
     )
 
@@ -118,7 +118,7 @@ def nearest_value(elements: DataFrame, *, key: str, tag: int, value: Column, at:
     holders = elements.where(F.col("tag") == tag).select(key, F.col("path").alias("__prefix"), value.alias("__value")).where("__value IS NOT NULL")
     datasets = (elements if at is None else at).select(key, "path").distinct()
     prefixes = datasets.select(key, "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("__prefix"))
-    return prefixes.join(holders, [key, "__prefix"]).groupBy(key, "path").agg(F.max_by("__value", F.struct(F.size("__prefix"), "__value")).alias("nearest"))
+    return prefixes.join(holders.hint("merge"), [key, "__prefix"]).groupBy(key, "path").agg(F.max_by("__value", F.struct(F.size("__prefix"), "__value")).alias("nearest"))
 
 
 def int16_strings(raw: Column, signed: Column, little: bool = True) -> Column:
@@ -156,7 +156,7 @@ def resolve_ambiguous(elements: DataFrame, *, key: str, implicit: Column | bool
         )
     )
     near = nearest_value(elements, key=key, tag=PIXEL_REPRESENTATION, value=number, at=e)
-    e = e.join(beside, [key, "path"], "left").join(near, [key, "path"], "left")
+    e = e.join(beside.hint("merge"), [key, "path"], "left").join(near.hint("merge"), [key, "path"], "left")
     vr, tag = F.col("vr"), F.col("tag")
     overlay = group_of(tag).between(0x6000, 0x601E) & (element_of(tag) == 0x3000)
     by_bits = lambda b: F.when(F.col("__implicit"), "OW").when(F.col(b) > 8, "OW").when(F.col(b).isNotNull(), "OB")
@@ -186,7 +186,7 @@ def update(base: DataFrame, other: DataFrame, *, on: list[str]) -> DataFrame:
 
 def delete(base: DataFrame, gone: DataFrame, *, on: list[str]) -> DataFrame:
     """`base` without the keys of `gone`."""
-    return base.join(gone.select(*on).distinct(), on, "left_anti")
+    return base.join(gone.select(*on).distinct().hint("merge"), on, "left_anti")
 
 
 def equal_datasets(a: DataFrame, b: DataFrame, *, key: str, on: list[str], values: list[str]) -> DataFrame:

@@ -144,7 +144,7 @@ def elements_of_nodes(nodes: DataFrame, *, key: str) -> DataFrame:
             lambda i: F.struct(F.conv(F.get(parts, i * 2), 16, 10).cast("bigint").alias("tag"), F.get(parts, i * 2 + 1).cast("int").alias("item")),
         )
     )
-    return e.join(items, [key, "item_node"]).join(values, [key, "element_node"], "left").select(key, path.alias("path"), "tag", "vr", "strings")
+    return e.join(items.hint("merge"), [key, "item_node"]).join(values.hint("merge"), [key, "element_node"], "left").select(key, path.alias("path"), "tag", "vr", "strings")
 
 
 def color_by_pixel(frame: bytes, samples: int, bits: int) -> bytes:

@@ -127,7 +127,7 @@ def sample_frames(files: DataFrame, *, key: str, data: str = "content", index: i
 
 def sample_rows(frames: DataFrame, images: DataFrame, *, key: str) -> DataFrame:
     """(key, frame_idx, row, col, sample, value) of `sample_frames`, with the shape from `describe_images`."""
-    shaped = frames.where("frame IS NOT NULL").join(images.select(key, "columns", "samples"), key)
+    shaped = frames.where("frame IS NOT NULL").join(images.select(key, "columns", "samples").hint("merge"), key)
     s = shaped.select(key, "frame_idx", "columns", "samples", F.posexplode("frame").alias("__at", "value"))
     return s.select(key, "frame_idx", F.expr("__at div (columns * samples)").cast("int").alias("row"), F.expr("(__at div samples) % columns").cast("int").alias("col"), F.expr("__at % samples").alias("sample"), "value")
 
@@ -213,7 +213,7 @@ def replace_pixels(elements: DataFrame, compressed: DataFrame, *, key: str) -> D
     """Element rows (key, path, tag, vr, raw, undefined_length, ...) with the pixel data of
     `compress_images` and its tables in place of those there. Files that failed keep their own."""
     done = compressed.where("write_error IS NULL")
-    kept = elements.join(done.select(key).withColumn("__new", F.lit(True)), key, "left")
+    kept = elements.join(done.select(key).withColumn("__new", F.lit(True)).hint("merge"), key, "left")
     old = F.coalesce("__new", F.lit(False)) & F.col("tag").isin(px.PIXELS, px.OFFSETS, px.LENGTHS) & (F.size("path") == 0)
     entry = lambda t, vr, c, u: F.struct(F.lit(t).cast("bigint").alias("tag"), vr.alias("vr"), F.col(c).alias("raw"), u.alias("undefined_length"))
     ov, no = F.lit("OV"), F.lit(False)

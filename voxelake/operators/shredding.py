@@ -140,7 +140,7 @@ def item_elements(nodes: DataFrame, *, key: str = "rec_id") -> DataFrame:
         key, F.col("node").alias("item_node"), "sequence_path", F.col("ordinal").alias("item_no")
     )
     elements = nodes.where("kind = 'element'").select(key, F.col("parent").alias("item_node"), F.col("label").alias("tag"), "vr", "node")
-    return elements.join(items, [key, "item_node"]).select(key, "sequence_path", "item_no", "tag", "vr", "node", "item_node")
+    return elements.join(items.hint("merge"), [key, "item_node"]).select(key, "sequence_path", "item_no", "tag", "vr", "node", "item_node")
 
 
 def entity_table(nodes: DataFrame, sequence_tag: str, columns: dict[str, str], *, key: str = "rec_id") -> DataFrame:
@@ -163,7 +163,7 @@ def entity_table(nodes: DataFrame, sequence_tag: str, columns: dict[str, str], *
         key, F.col("parent").alias("element_node"), F.col("ordinal").alias("place"), "scalar"
     )
     values = (
-        elements.join(scalars, [key, "element_node"])
+        elements.join(scalars.hint("merge"), [key, "element_node"])
         .groupBy(key, "item_node", "tag")
         .agg(F.sort_array(F.collect_list(F.struct("place", "scalar"))).alias("vs"))
         .select(key, "item_node", "tag", F.array_join(F.transform("vs", lambda v: v["scalar"]), "\\").alias("value"))
@@ -173,6 +173,6 @@ def entity_table(nodes: DataFrame, sequence_tag: str, columns: dict[str, str], *
     )
     for tag, name in columns.items():
         values = values.withColumnRenamed(tag, name)
-    return seqs.join(items, [key, "seq_node"]).drop("seq_node").join(values, [key, "item_node"], "left").select(
+    return seqs.join(items.hint("merge"), [key, "seq_node"]).drop("seq_node").join(values.hint("merge"), [key, "item_node"], "left").select(
         key, "item_node", "parent_node", "sequence_path", "item_no", *columns.values()
     )

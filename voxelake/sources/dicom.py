@@ -268,7 +268,7 @@ def load_deferred(elements: DataFrame, contents: DataFrame, *, key: str, data: s
     """Deferred elements with their bytes, taken from the stored (offset, length) of the content; null
     where the content has become shorter. Values of undefined length are fetched like all others."""
     late = elements.where("deferred").drop("raw")
-    return late.join(contents.select(key, data), key).withColumn("raw", F.expr(f"substring(`{data}`, cast(value_offset + 1 as int), cast(value_length as int))")).drop(data)
+    return late.join(contents.select(key, data).hint("merge"), key).withColumn("raw", F.expr(f"substring(`{data}`, cast(value_offset + 1 as int), cast(value_length as int))")).drop(data)
 
 
 def fetch_deferred(elements: DataFrame, *, file: str = "file") -> DataFrame:
@@ -390,7 +390,7 @@ def encode_files(datasets: DataFrame, elements: DataFrame, *, key: str, transfer
     if transfer_syntax not in TRANSFER_SYNTAXES:
         raise SyntaxUnknownError(transfer_syntax)
     _, little = write_encoding(transfer_syntax)
-    both = datasets.select(key, "sop_class", "sop_instance").join(grouped_elements(elements, key), key)
+    both = datasets.select(key, "sop_class", "sop_instance").join(grouped_elements(elements, key).hint("merge"), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
