@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import pickle
 import random
 
-from voxelake.llm.charsets import damage, from_bytes, label, repair, restore, states, to_bytes, train, wrongly_decoded
+from voxelake.llm.charsets import count_bigrams, damage, from_bytes, label, plausible, repair, restore, states, to_bytes, train, trained_models, wrongly_decoded
 
 FAMILIES = ["Müller", "Castaño", "Brontë", "Lefèvre", "Hernández", "Gómez", "Straßer", "Açores", "Novák", "Piñeiro", "Sørensen", "Zoëga"]
 PLAIN = ["Miller", "Baker", "Smith", "Weber", "Klein", "Moreau", "Rossi", "Novotny", "Larsen", "Hughes"]
@@ -57,3 +58,18 @@ def test_tables(spark):
     got = sorted(((r.name_id, r.component, r.restored) for r in wrongly_decoded(df).collect()), key=repr)
     assert got == [(900, "alphabetic", "Müllerdorf^José"), (None, "alphabetic", "Gómezton^Inés")]
     assert wrongly_decoded(df.limit(0)).count() == 0
+
+
+def test_all_texts_train(spark):
+    """Every distinct text counts, in whatever task it is, and only once; so a letter counts that no
+    sample of a few thousand texts holds often enough."""
+    texts = [f"Weber{a}{b}^Anna {c}" for a in "abcdefghijklmnop" for b in "aeiou" for c in ["Maria", "Susan", "Peter", *(f"Jo{x}" for x in "abcdefghijklmnopqrstuvwxyzäöü" * 2)]]
+    texts = sorted({*texts, *(f"Ła{x}" for x in "bcdfghjk"), *(damage(f"Jörg{x}^José", "utf-8", "latin-1") for x in "abcdefgh")})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "name_id bigint, alphabetic string").repartition(7)
+    got, want = pickle.loads(trained_models(df, ("alphabetic",))["alphabetic"]), train(texts, "alphabetic")
+    assert got.symbols == want.symbols and "Ł" in got.symbols
+    assert abs(got.start - want.start).max() < 1e-9
+    seen = [("a", "\x03"), ("\x02", "Ł"), ("Ł", "a"), ("A", "ö"), ("ö", "a"), ("Ã", "\xb6")]
+    assert max(abs(got.emission(*p) - want.emission(*p)).max() for p in seen) < 1e-5
+    ends = sum(n for b, n in count_bigrams([t for t in texts if plausible(t, "alphabetic")], "alphabetic")[0].items() if b[1] == "\x03")
+    assert len(texts) > 2000 and ends >= len(texts) - 8

@@ -1,38 +1,43 @@
 """Text decoded with the wrong character set: found and, where it survives, restored.
 
 A hidden Markov model with one clean state and one state per pair (right, wrong) of character sets
-labels every character of a text. Emissions are character bigrams, trained on a bounded sample of
-the corpus itself: the clean state on the sample, each other state on what its pair makes of the
-sample. A second round trains without the sample texts that the first one labelled. Every labelled
-span then gets the inverse transform of its state.
+labels every character of a text. Emissions are character bigrams, counted over all distinct texts
+of the corpus itself: the clean state on the texts, each other state on what its pair makes of them.
+A second round counts without the texts that the first one labelled. Every labelled span then gets
+the inverse transform of its state.
 """
 
 from __future__ import annotations
 
+import codecs
 import math
 import pickle
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts per component on which the model is fitted at most (those with the least hash).
-TRAIN_TEXTS = 3000
-#: Uses in the training texts from which a character is a symbol of its own; all such are kept.
+from voxelake.session import cut_lineage
+
+#: Uses in all texts and what the pairs make of them from which a character is a symbol of its own; all such are kept.
 SYMBOL_USES = 4
 #: Prior of a text that is not clean, and of a change of state between two characters.
 START_WRONG, CHANGE = 0.06, 1e-4
 ROUNDS = 2
 #: Bigrams whose emissions a worker remembers.
 EMISSIONS = 30_000
+#: Counts of (state, bigram) that a worker gathers before it passes them on.
+GATHERED = 500_000
 
 #: Pairs of character sets, as (right, those it is mistaken for).
 _WESTERN = ("latin-1", "cp1252", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-9", "cp437", "mac_roman")
@@ -85,7 +90,7 @@ def from_bytes(data: bytes, wrong: str) -> str:
     """Bytes read with `wrong`; bytes that it doesn't define stand for themselves."""
     if wrong in _WIDE:
         return data.decode(wrong, "replace")
-    return "".join(map(_table(wrong)[0].__getitem__, data))
+    return codecs.charmap_decode(data, "strict", _table(wrong)[0])[0]
 
 
 def states() -> list[tuple[str, str]]:
@@ -140,12 +145,16 @@ _EASTERN = {"gb18030", "cp949", "shift_jis", "euc_jp", "iso2022_jp"}
 MARGIN = 6.0
 #: Signs that names hold besides letters and marks.
 _SIGNS = frozenset(" ^=-'.,＾＇－")
+#: A Latin letter beside a Greek or Cyrillic one that doesn't look like any.
+_LATIN, _UNLIKE = "[A-Za-z\u00c0-\u024f]", f"(?![{''.join(sorted(_LOOK_CYRILLIC | _LOOK_GREEK))}])[\u0370-\u052f]"
+_MIXED = re.compile(f"{_LATIN}{_UNLIKE}|{_UNLIKE}{_LATIN}")
 _EAST = re.compile(r"CJK|HIRAGANA|KATAKANA|HANGUL|KANGXI|HALFWIDTH|FULLWIDTH")
 
 
 def plausible(text: str, component: str) -> bool:
     """May train the clean state: letters, marks, blanks, dashes and apostrophes of the scripts
-    that the component is for, and no run of accented letters throughout."""
+    that the component is for, no run of accented letters throughout, no word of two alphabets but for
+    letters that look alike."""
     letters = accented = 0
     for ch in text:
         kind = unicodedata.category(ch)
@@ -159,7 +168,7 @@ def plausible(text: str, component: str) -> bool:
                 return False
         elif not (ch in _SIGNS or kind in ("Mn", "Zs", "Pd", "Cf") or ch in "’ʼ・゙゚"):
             return False
-    if 2 * accented > letters >= 4:
+    if 2 * accented > letters >= 4 or _MIXED.search(text):
         return False
     # text that is valid UTF-8 once it is undone has hardly been right
     return text.isascii() or all(restore(text, "utf-8", w) in (None, text) for w in dict(PAIRS)["utf-8"])
@@ -193,16 +202,28 @@ def _row(table: tuple, key: object) -> np.ndarray | None:
     return None if at is None else table[1][at].astype(np.float64)
 
 
+def _sparse_row(table: tuple, key: object, size: int) -> np.ndarray:
+    """Counts by state of a key."""
+    row = np.zeros(size)
+    at = table[0].get(key)
+    if at is None:
+        return row
+    _, starts, states_of, counts = table
+    row[states_of[starts[at] : starts[at + 1]]] = counts[starts[at] : starts[at + 1]]
+    return row
+
+
 @dataclass
 class Model:
     """Emissions as log probabilities per bigram of symbols, and the weights of the states."""
 
     symbols: set
     start: np.ndarray
-    bigrams: tuple  # each: place by key, and one row of float32 per place
-    unigrams: tuple
+    bigrams: tuple  # place by key, where each place's counts start, their states, the counts
+    unigrams: tuple  # each: place by key, and one row of float32 per place
     contexts: tuple
     floor: np.ndarray
+    own: float = 0.0  # the share of one use among the clean state's unigrams
 
     def sequence(self, text: str) -> list[str]:
         """The symbols of a text between its ends, remembered per character."""
@@ -253,13 +274,17 @@ class Model:
         return np.log(self._emission(before, now) * producible(now) + 1e-30)
 
     def _emission(self, before: str, now: str) -> np.ndarray:
-        uni = _row(self.unigrams, now)
+        uni, con = _row(self.unigrams, now), _row(self.contexts, before)
+        both = _sparse_row(self.bigrams, (before, now), len(self.floor))
+        # every text has trained the clean state: its own use does not speak for it
+        for counts, own in ((uni, self.own), (both, 1.0), (con, 1.0)):
+            if counts is not None:
+                counts[0] = max(counts[0] - own, 0.0)
         uni = self.floor if uni is None else uni + self.floor
-        con, both = _row(self.contexts, before), _row(self.bigrams, (before, now))
         if con is None:
             return uni
         n, kinds = np.split(con, 2)
-        return ((0 if both is None else both) + (kinds + 0.5) * uni) / (n + kinds + 0.5)
+        return (both + (kinds + 0.5) * uni) / (n + kinds + 0.5)
 
 
 class _Symbols(dict):
@@ -282,50 +307,79 @@ class _Places(dict):
         return n
 
 
-def fit(texts: list[str], weights: np.ndarray | None = None) -> Model:
-    """Train on clean texts; weights: the share of each state so far."""
-    pairs = states()
-    texts = [*texts, *(t.upper() for t in texts[::4] if not t.isupper())]  # capitals are rarer than they are plain
-    made = [texts] + [[d for t in texts if (d := damage(t, r, w)) is not None and d != t] for r, w in pairs]
-    own = set(texts)
-    for group, (r, _) in zip(made[1:], pairs, strict=True):
+#: Characters that share one symbol, each by one of them: so counts by character hold no more than needed.
+_SHARED = {
+    **{i: "a" if chr(i).islower() else "A" if chr(i).isupper() else "9" for i in range(128) if chr(i).isalnum()},
+    **dict.fromkeys(map(ord, _LOOK_CYRILLIC), "о"), **dict.fromkeys(map(ord, _LOOK_GREEK), "ο"),
+}
+
+
+def texts_by_state(texts: list[str], component: str) -> list[list[str]]:
+    """Plausible texts, and what every pair makes of them, by state. What becomes of a text depends on
+    the text alone, so that parts of a corpus can be counted apart."""
+    # capitals are rarer than they are plain
+    texts = [*texts, *(t.upper() for t in texts if zlib.crc32(t.encode("utf-8", "surrogatepass")) % 4 == 0 and not t.isupper())]
+    made = [texts]
+    strange = [t for t in texts if not t.isascii()]  # ASCII is the same in all character sets
+    for r, w in states():
+        group = [d for t in strange if (d := damage(t, r, w)) is not None and d != t]
         if r != "iso2022_jp":  # control characters are often lost on the way
-            group.extend(sorted({_CONTROLS.sub("", t) for t in group if _CONTROLS.search(t)} - own))
-    chars: Counter = Counter()
-    for group in made:
-        chars.update("".join(group))
+            group += [d for t in group if _CONTROLS.search(t) and not plausible(d := _CONTROLS.sub("", t), component)]
+        made.append(group)
+    return made
+
+
+def count_bigrams(texts: list[str], component: str) -> list[Counter]:
+    """Uses of character bigrams (two characters; \x02 before the first and \x03 after the last) by state."""
+    out = []
+    for group in texts_by_state(texts, component):
+        whole = "".join(f"\x02{t}\x03" for t in group).translate(_SHARED)
+        counts = Counter(map(add, whole, whole[1:]))
+        counts.pop("\x03\x02", None)
+        out.append(counts)
+    return out
+
+
+def build_model(state: np.ndarray, bigram: list[str], uses: np.ndarray, weights: np.ndarray | None = None) -> Model:
+    """The model from uses of character bigrams by state; weights: the share of each state so far."""
+    k = 1 + len(states())
+    chars = _Places()
+    now_char = np.fromiter((chars[b[1]] for b in bigram), np.int64, len(bigram))
+    char_uses = np.bincount(now_char, uses, len(chars))
     # a character with fewer uses has no emission of its own, but its block's
-    model = Model({c for c, n in chars.items() if n >= SYMBOL_USES}, np.zeros(0), (), (), (), np.zeros(0))
-    k = len(made)
+    model = Model({c for c, n in zip(chars, char_uses, strict=True) if n >= SYMBOL_USES} | {"\x02", "\x03"}, np.zeros(0), (), (), (), np.zeros(0))
+    symbol_of = _Symbols(model)
     symbols, contexts, bigrams = _Places(), _Places(), _Places()
-    found = []
-    for group in made:
-        seqs = [model.sequence(t) for t in group]
-        counts = Counter(chain.from_iterable(seqs))
-        counts.pop("\x02", None)  # nothing comes before the first
-        pair_counts = Counter(chain.from_iterable(zip(q, q[1:]) for q in seqs))  # noqa: B905
-        number = lambda places, things: np.fromiter((places[x] for x in things), np.int64, len(things))
-        found.append(
-            (
-                number(symbols, counts), np.fromiter(counts.values(), np.float64, len(counts)) / (sum(counts.values()) + 50.0),
-                number(bigrams, pair_counts), np.fromiter(pair_counts.values(), np.float64, len(pair_counts)), number(contexts, [a for a, _ in pair_counts]),
-            )
-        )
-    uni, big, con = np.zeros((len(symbols), k), np.float32), np.zeros((len(bigrams), k), np.float32), np.zeros((len(contexts), 2 * k), np.float32)
-    for s, (symbol, share, bigram, uses, context) in enumerate(found):
-        uni[symbol, s], big[bigram, s] = share, uses
-        con[:, s], con[:, k + s] = np.bincount(context, uses, len(contexts)), np.bincount(context, minlength=len(contexts))
+    pairs = [(symbol_of[b[0]], symbol_of[b[1]]) for b in bigram]
+    number = lambda places, things: np.fromiter((places[x] for x in things), np.int64, len(pairs))
+    place, now, before = number(bigrams, pairs), number(symbols, (b for _, b in pairs)), number(contexts, (a for a, _ in pairs))
+    total = np.bincount(state, uses, k)
+    uni = np.bincount(now * k + state, uses, len(symbols) * k).reshape(-1, k) / (total + 50.0)
+    # several characters may be one symbol: counts of equal (bigram, state) fall together
+    cells, at = np.unique(place * k + state, return_inverse=True)
+    cell_uses = np.bincount(at, uses, len(cells))
+    context_of = np.zeros(len(bigrams), np.int64)
+    context_of[place] = before
+    slot = context_of[cells // k] * k + cells % k
+    con = np.concatenate([np.bincount(slot, x, len(contexts) * k).reshape(-1, k) for x in (cell_uses, cell_uses > 0)], 1)
     # a state that a corpus hardly feeds must not explain what the clean one can't
-    enough = np.array([len(g) >= 3 for g in made])
+    texts = np.bincount(state, uses * np.fromiter((b[1] == "\x03" for b in bigram), bool, len(bigram)), k)
     share = np.ones(k - 1) if weights is None else weights + 0.5
-    share = np.where(enough[1:], share, 0)
+    share = np.where(texts[1:] >= 3, share, 0)
     start = np.concatenate(([1 - START_WRONG], START_WRONG * share / max(share.sum(), 1e-9)))
     model.start = np.log(np.maximum(start, 1e-300))
-    model.bigrams, model.unigrams, model.contexts = (dict(bigrams), big), (dict(symbols), uni), (dict(contexts), con)
-    model.floor = np.full(k, 1e-7)
+    starts = np.searchsorted(cells // k, np.arange(len(bigrams) + 1))
+    model.bigrams = (dict(bigrams), starts.astype(np.int32), (cells % k).astype(np.uint8), cell_uses.astype(np.float32))
+    model.unigrams, model.contexts = (dict(symbols), uni.astype(np.float32)), (dict(contexts), con.astype(np.float32))
+    model.floor, model.own = np.full(k, 1e-7), 1 / (total[0] + 50.0)
     return model
 
 
+def _flat(counts: list[Counter], sign: int = 1) -> tuple[list[int], list[str], list[int]]:
+    """Counters by state as columns (state, bigram, uses)."""
+    return [s for s, c in enumerate(counts) for _ in c], [b for c in counts for b in c], [sign * n for c in counts for n in c.values()]
+
+
 def label(model: Model, texts: list[str]) -> list[np.ndarray]:
     """Viterbi: the state of every character of each text. Texts of like length run together."""
     out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(texts)
@@ -373,19 +427,27 @@ def label(model: Model, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def main_states(found: list[np.ndarray]) -> list[int]:
+    """The state that most of the labelled characters of a text have; 0 where none is labelled."""
+    return [int(Counter(f[f > 0].tolist()).most_common(1)[0][0]) if f.any() else 0 for f in found]
+
+
 def train(texts: list[str], component: str) -> Model:
     """Two rounds: the texts that the first model labels don't train the second."""
     good = [t for t in texts if plausible(t, component)]
-    model = fit(good)
+    counts = count_bigrams(good, component)
+    weights = None
     for _ in range(ROUNDS - 1):
-        found = label(model, texts)
-        weights = np.zeros(len(states()))
-        for f in found:
-            if f.any():
-                weights[int(Counter(f[f > 0].tolist()).most_common(1)[0][0]) - 1] += 1
-        wrong = {t for t, f in zip(texts, found, strict=True) if f.any()}
-        model = fit([t for t in good if t not in wrong], weights)
-    return model
+        main = main_states(label(_model_of(counts, weights), texts))
+        weights = np.bincount(main, minlength=1 + len(states()))[1:].astype(float)
+        wrong = {t for t, m in zip(texts, main, strict=True) if m}
+        counts = count_bigrams([t for t in good if t not in wrong], component)
+    return _model_of(counts, weights)
+
+
+def _model_of(counts: list[Counter], weights: np.ndarray | None) -> Model:
+    state, bigram, uses = _flat(counts)
+    return build_model(np.array(state, np.int64), bigram, np.array(uses, np.float64), weights)
 
 
 def repair(model: Model, text: str, labels: np.ndarray) -> tuple[str | None, str] | None:
@@ -424,25 +486,92 @@ def repair(model: Model, text: str, labels: np.ndarray) -> tuple[str | None, str
     return None, ",".join(dict.fromkeys(used))
 
 
-def training_sample(names: DataFrame, component: str, most: int = TRAIN_TEXTS) -> list[str]:
-    """At most `most` distinct texts of a component, those with the least hash."""
-    rows = names.where(F.length(component) > 0).groupBy(component).agg(F.lit(1)).select(component)
-    return sorted(r[0] for r in rows.orderBy(F.xxhash64(component), component).limit(most).collect())
+_COUNTS = "component string, state int, bigram string, uses bigint"
 
 
-def _trained(samples: dict[str, list[str]], spark: SparkSession) -> dict[str, bytes]:
-    """The components' models, pickled, each trained in a task of its own (bounded samples in, bounded
-    models out). The driver only passes them on."""
-    if not samples:
-        return {}
+def _counts_batch(component: str, columns: tuple[list, list, list]) -> pa.RecordBatch:
+    state, bigram, uses = columns
+    return pa.RecordBatch.from_arrays(
+        [pa.array([component] * len(state), pa.string()), pa.array(state, pa.int32()), pa.array(bigram, pa.string()), pa.array(uses, pa.int64())],
+        names=["component", "state", "bigram", "uses"],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [pickle.dumps(train(t, c)) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["component", "model"])
 
-    rows = spark.sparkContext.parallelize(list(samples.items()), len(samples)).toDF("component string, texts array<string>")
-    return {r[0]: bytes(r[1]) for r in rows.mapInArrow(run, "component string, model binary").collect()}
+def _by_component(batch: pa.RecordBatch) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        out.setdefault(c, []).append(t)
+    return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """(component, texts), few enough that what every pair makes of them stays small."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, 2048):
+            yield from _by_component(batch.slice(part, 2048)).items()
+
+
+def _gathered(counted: Iterator[tuple[str, list[Counter]]], sign: int) -> Iterator[pa.RecordBatch]:
+    """Counts of many batches added up, passed on whenever there are GATHERED of them."""
+    held: dict[str, list[Counter]] = {}
+    for component, counts in counted:
+        mine = held.setdefault(component, [Counter() for _ in counts])
+        for a, b in zip(mine, counts, strict=True):
+            a.update(b)
+        if sum(len(c) for m in held.values() for c in m) > GATHERED:
+            yield from (_counts_batch(c, _flat(m, sign)) for c, m in held.items())
+            held = {}
+    yield from (_counts_batch(c, _flat(m, sign)) for c, m in held.items())
+
+
+def _built(counts: DataFrame) -> dict[str, bytes]:
+    """The components' models, pickled, each built in a task of its own; the driver only passes them
+    on. Rows without a bigram hold the weights of the states."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        component, weighs = rows.column("component")[0].as_py(), pc.is_null(rows.column("bigram"))
+        weights, counted = rows.filter(weighs), rows.filter(pc.invert(weighs)).sort_by([("bigram", "ascending"), ("state", "ascending")])
+        column = lambda t, n, kind: t.column(n).to_numpy().astype(kind)
+        share = np.bincount(column(weights, "state", np.int64), column(weights, "uses", float), 1 + len(states()))[1:] if weights.num_rows else None
+        model = build_model(column(counted, "state", np.int64), counted.column("bigram").to_pylist(), column(counted, "uses", float), share)
+        return pa.table({"component": pa.array([component], pa.string()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    summed = counts.groupBy("component", "state", "bigram").agg(F.sum("uses").alias("uses")).where("uses <> 0")
+    return {r[0]: bytes(r[1]) for r in summed.groupBy("component").applyInArrow(build, "component string, model binary").collect()}
+
+
+def trained_models(names: DataFrame, components: tuple[str, ...]) -> dict[str, bytes]:
+    """`train` on all distinct texts of every component, their counts added up over the tasks; a
+    component without texts has no model. The models grow with the distinct bigrams, not the rows."""
+    spark = names.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("text")) for c in components)))
+    texts = cut_lineage(names.select(each.alias("x")).select("x.component", "x.text").where(F.length("text") > 0).distinct().repartition(parts, "component", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(((c, count_bigrams([t for t in ts if plausible(t, c)], c)) for c, ts in _parts(batches)), 1)
+
+    counts = cut_lineage(texts.mapInArrow(count, _COUNTS).groupBy("component", "state", "bigram").agg(F.sum("uses").alias("uses")))
+    models = _built(counts)
+    for _ in range(ROUNDS - 1):
+        shared = spark.sparkContext.broadcast(models)
+
+        def labelled(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            trained = {c: pickle.loads(b) for c, b in shared.value.items()}
+            weights: dict[str, Counter] = {}
+
+            def wrong() -> Iterator[tuple[str, list[Counter]]]:
+                for c, ts in _parts(batches):
+                    main = main_states(label(trained[c], ts)) if c in trained else [0] * len(ts)
+                    weights.setdefault(c, Counter()).update(m for m in main if m)
+                    yield c, count_bigrams([t for t, m in zip(ts, main, strict=True) if m and plausible(t, c)], c)
+
+            yield from _gathered(wrong(), -1)
+            for c, w in weights.items():
+                yield _counts_batch(c, (list(w), [None] * len(w), list(w.values())))
+
+        models = _built(counts.union(texts.mapInArrow(labelled, _COUNTS)))
+    return models
 
 
 def wrongly_decoded(
@@ -453,10 +582,9 @@ def wrongly_decoded(
     restored is null where the original does not survive; pair names the character sets (right:wrong)
     or what was lost. Null and empty texts are never found; repeated rows are found each; null keys
     pass through. Whole texts of any length are labelled. One narrow pass with the broadcast models,
-    whose size is bounded by TRAIN_TEXTS.
+    which all distinct texts have trained.
     """
-    models = _trained({c: t for c in components if (t := training_sample(names, c))}, names.sparkSession)
-    shared = names.sparkSession.sparkContext.broadcast(models)
+    shared = names.sparkSession.sparkContext.broadcast(trained_models(names, components))
     kind = names.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
