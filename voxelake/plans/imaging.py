@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelake.operators import imaging as im
 from voxelake.plans.elements import EXPLICIT, query_table
 from voxelake.session import table
-from voxelake.sources.dicom import encode_files, parse_elements
+from voxelake.sources.dicom import encode_files
 
 QUERIES, ORACLES, query = query_table()
 RLE = "1.2.840.10008.1.2.5"
@@ -108,9 +108,8 @@ def image_descriptions(spark: SparkSession, d: str) -> DataFrame:
 def all_frames(spark: SparkSession, d: str) -> DataFrame:
     """Fragments counted and all frames decoded into one byte string."""
     files = image_files(spark, d)
-    packed = im.compress_images(files, key="l_orderkey", transfer_syntax=RLE, per_frame=2, table=False)
-    e = im.replace_pixels(parse_elements(files, key="l_orderkey").where("NOT is_meta"), im.compress_images(files, key="l_orderkey", transfer_syntax=RLE, per_frame=2), key="l_orderkey")
-    done = image_files(spark, d, e, RLE)
-    whole = im.joined_frames(im.decoded_frames(done, key="l_orderkey", raw=True), key="l_orderkey")
-    sound = packed.where("write_error IS NULL AND undefined_length").select("l_orderkey")
-    return whole.join(im.fragment_counts(done, key="l_orderkey"), "l_orderkey").join(sound, "l_orderkey", "left_semi").select("l_orderkey", "fragments", F.hex("data").alias("bytes"))
+    # one chain of narrow passes: also packed without a table, which must succeed
+    packed = im.compress_images(files, key="l_orderkey", transfer_syntax=RLE, per_frame=2, table=False, carry=("content",))
+    sound = packed.where("write_error IS NULL AND undefined_length")
+    whole = im.whole_images(im.recompress_files(sound, key="l_orderkey", transfer_syntax=RLE, per_frame=2), key="l_orderkey", raw=True)
+    return whole.select("l_orderkey", "fragments", F.hex("data").alias("bytes"))
